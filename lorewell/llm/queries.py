@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorewell.llm import bpe, counts, exact, packing, sharding
+from lorewell.llm import bpe, chat, counts, exact, packing, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json")).drop("uid")
 
@@ -36,10 +40,34 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), sharding.layout(16), sharding.layout(17))
 
 
+OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role) - 1 AS rank
+  FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+r AS (
+  SELECT t.conv_id, speaker, CAST(floor(rank / 64) AS BIGINT) AS part, rank, role = speaker AS own,
+         '<|start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
+                             ELSE 'user name=' || replace(role, '<|', '<\|') END || chr(10) AS head,
+         text || '<|end|>' || chr(10) AS body
+  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+o AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY rank) AS stop FROM r)
+SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (own) AS n_masked,
+       string_agg(head || body, '' ORDER BY rank) AS text,
+       coalesce(string_agg(CAST(stop - length(body) AS BIGINT) || ':' || CAST(stop AS BIGINT), ';' ORDER BY rank) FILTER (own), '') AS mask
+FROM o GROUP BY conv_id, speaker, part
+"""
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -51,11 +79,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op4_token_counts": op4_token_counts,
+        "op5_chat_formatting": op5_chat_formatting,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_quality_rules": op9_quality_rules,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op5_chat_formatting": OP5_SQL, "op7_exact_dedup": OP7_SQL}
