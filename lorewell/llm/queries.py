@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorewell.llm import bpe, chat, counts, exact, packing, quality, sharding
+from lorewell.llm import bpe, chat, counts, exact, minhash, packing, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(_documents(spark, sf_dir)).drop("uid")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
@@ -78,6 +82,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_best_fit_packing": op6_best_fit_packing,
