@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorewell.llm import bpe, chat, counts, exact, minhash, packing, quality, sharding
+from lorewell.llm import bpe, chat, counts, exact, minhash, packing, quality, sharding, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(_documents(spark, sf_dir)).drop("uid")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_best_fit_packing": op6_best_fit_packing,
