@@ -1,23 +1,58 @@
-"""The corpus pipeline: the training-data operators in a row over ``documents``."""
+"""The corpus pipeline: training-data operators in a row over ``documents``.
+
+Each stage gets the Parquet table that the stage before wrote. The stages drop
+low-quality documents, exact copies and near copies, remove repeated passages,
+and pack what is left into sequences; all but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewell.llm import exact
+from lorewell.llm import exact, minhash, packing, quality, substring
 from lorewell.scratch import materialize
 
+#: Near copies: five-word shingles, similarity in percent.
+NEAR_PERCENT, SHINGLE = 80, 5
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
-def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_one(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup_stage)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs, NEAR_PERCENT, SHINGLE)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("uid")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
 
+#: SQL can't express the certified cutoffs, the components and the packing; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in a row; the result of the last one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)

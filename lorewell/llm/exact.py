@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lorewell.llm import fuse
+from lorewell.llm.rows import only
 from lorewell.scratch import materialize
 
 #: Digests in one filter shard, about; bounds the memory of one filter task.
@@ -128,10 +129,5 @@ def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """The documents without their exact copies, with all columns of ``docs``."""
-    marks = exact_dedup(docs, batches).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    own = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
-    hit = docs["doc_id"].eqNullSafe(marks["_id"]) & (own == marks["_digest"])
-    joined = docs.withColumn("_n", F.lit(1)).join(marks, hit)
-    # rows that repeat both doc_id and text differ at most in other columns; one of them stays
-    return joined.dropDuplicates(["_id", "_digest"]).select(*[joined[f"`{c}`"] for c in docs.columns])
+    """The documents (a stored table) without their exact copies, with all columns of ``docs``."""
+    return only(docs, exact_dedup(docs, batches).where("kept"))

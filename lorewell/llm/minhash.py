@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from lorewell.llm import shingles
 from lorewell.llm.arrow import map_batches, texts
 from lorewell.llm.components import components
+from lorewell.llm.rows import only
 from lorewell.scratch import materialize
 
 BANDS, ROWS, BITS = 32, 5, 4
@@ -236,3 +237,8 @@ def near_dedup(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     return rooted.join(heads, "root").select(
         "uid", "doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), (F.col("uid") == F.col("head.uid")).alias("kept")
     )
+
+
+def keep_one(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
+    """The documents (a stored table) with one of each group of near copies, with all columns of ``docs``."""
+    return only(docs, near_dedup(docs, percent, k).where("kept"))

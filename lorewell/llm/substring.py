@@ -296,3 +296,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     kind = whole.schema["row"].dataType.simpleString()
     return map_batches(joined.select("row", "text", "spans"), make, f"row {kind}, n_words long, n_removed long, kept string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with the words left as their text, with all columns of ``docs``; n_chars, if there, is counted anew."""
+    out = remove_repeats(docs)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
