@@ -61,6 +61,36 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), sharding.layout(16), sharding.layout(17))
 
 
+#: Words with their places, for the two queries below.
+WORDS_SQL = """
+d AS (SELECT doc_id, list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+word AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d)"""
+
+OP2_SQL = """
+WITH RECURSIVE {words},
+run AS (SELECT doc_id, n, i, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM word),
+shingle AS (SELECT DISTINCT doc_id, s FROM run WHERE i <= greatest(1, n - 4)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT way.b, reach.c FROM reach JOIN way ON way.a = reach.doc_id),
+component AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM component LEFT JOIN size USING (doc_id)
+""".format(words=WORDS_SQL.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))
+
+OP3_SQL = """
+WITH {words},
+run AS (SELECT doc_id, n, i, x, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS k FROM word),
+seen AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS copy FROM run WHERE i <= n - 19),
+mark AS (
+  SELECT word.doc_id, word.x, word.i,
+         coalesce(bool_or(copy) OVER (PARTITION BY word.doc_id ORDER BY word.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM word LEFT JOIN seen ON seen.doc_id = word.doc_id AND seen.i = word.i),
+left_over AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS t FROM mark GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN left_over USING (doc_id)
+""".format(words=WORDS_SQL.format(text="coalesce(text, '')"))
+
 OP5_SQL = r"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text,
@@ -104,4 +134,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op7_exact_dedup": OP7_SQL}
