@@ -51,7 +51,7 @@ def _scan(keys: DataFrame, ids: list, q: np.ndarray, k: int | None, ddl: str, ar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
         for b in batches:
-            if not b.num_rows:
+            if not b.num_rows or not ids:
                 continue
             names, m = b.column("key_id"), matrix(b.column("embedding"))
             own = names.to_numpy(zero_copy_only=False)

@@ -126,3 +126,9 @@ def test_recall_never_falls_with_k(spark):
     rows = spark.createDataFrame([(0, ["a", "b", "c"], ["c", "a", "z"]), (1, ["a"], [])], "query_id long, docs array<string>, gold array<string>")
     got = [r["recall"] for r in evaluate.recall_at_k(rows)[1].where("query_id = 0").orderBy("k").collect()]
     assert got == sorted(got) and got[0] == pytest.approx(1 / 3) and got[-1] == pytest.approx(2 / 3)
+
+
+def test_no_queries_give_no_rows(spark):
+    none = spark.createDataFrame([], "query_id long, embedding array<double>")
+    rows = spark.createDataFrame([(1, [1.0])], "key_id long, embedding array<double>")
+    assert knn.top_normalised(none, rows, 3).count() == 0 and knn.all_normalised(none, rows).count() == 0
