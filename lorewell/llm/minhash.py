@@ -12,7 +12,9 @@ probability below 1e-8.
 Documents with equal sets are one node from the start. In a bucket every member
 is first held against its smallest member only (a star, not all pairs); after
 the components of those links are known, only buckets that still hold several
-components go on, with the pairs between different components.
+components go on. Of their members those stay whose sets allow a link at all,
+and each bucket (a large one in tiles) is settled in one matrix product, which
+yields no more links than it takes to join its components.
 """
 
 from __future__ import annotations
@@ -35,10 +37,8 @@ PERMUTATIONS = BANDS * ROWS
 CHUNK = 4096
 #: Standard errors below the threshold at which an estimate still counts as possible.
 SLACK = 6.0
-#: Members from which a bucket that isn't settled is divided further.
-LARGE = 256
-#: Further minima by which a large bucket is divided.
-DIVIDE = 4
+#: Members of an unsettled bucket in one tile, and cells of a matrix of members and shingles.
+TILE, CELLS = 1024, 1 << 24
 
 _rng = np.random.default_rng(20_240_501)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -171,11 +171,89 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _divided(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Large buckets divided by the low bits of DIVIDE further minima, other ones for each bucket."""
-    at = F.pmod(F.xxhash64("key"), F.lit(PERMUTATIONS // 2 - DIVIDE // 2)).cast("int") + 1
-    sub = F.xxhash64("key", F.col("sig").substr(at, F.lit(DIVIDE // 2)))
-    return members.join(nodes.select("uid", "sig"), "uid").select(sub.alias("key"), "uid", "label")
+def _reachable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members (key, uid, label) that can have a link to one of another component at all.
+
+    Shingles that no other member has count against every partner: with u of n
+    such shingles no similarity exceeds (n - u) / n. That drops strongly edited
+    copies exactly, and at a cost in proportion to the sets.
+    """
+    kind = pa.schema([("uid", pa.int64()), ("shingle", pa.int64())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uid, v in zip(b.column("uid").to_pylist(), b.column("set")):
+                s = np.frombuffer(v.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), uid)), pa.array(s)], schema=kind)
+
+    one = sets.mapInArrow(spread, "uid long, shingle long").groupBy("shingle").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("n"))
+    lone = one.where("n = 1").groupBy("uid").agg(F.count(F.lit(1)).alias("u"))
+    n = (F.octet_length("set") / 8).cast("long")
+    hopeless = sets.select("uid", n.alias("n")).join(lone, "uid").where(100 * (F.col("n") - F.col("u")) < percent * F.col("n"))
+    return members.join(hopeless.select("uid"), "uid", "left_anti")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members (key, uid, label) of buckets that hold several components."""
+    keys = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    return materialize(members.join(keys.select("key", "n"), "key"), "open")
+
+
+def _merging(percent: int):
+    """Links between components within a tile of a bucket, as many as it takes to join them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        uid, label = table["uid"].to_numpy(), table["label"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in table["set"].chunks for x in c]
+        size = np.array([len(s) for s in sets])
+        every, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        _, column, often = np.unique(every, return_inverse=True, return_counts=True)
+        shared = often[column] > 1
+        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+        width = int(column.max()) + 1 if len(column) else 0
+        root = {x: x for x in label.tolist()}
+        found: list[tuple[int, int]] = []
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        step = max(1, CELLS // max(1, width))
+        blocks = range(0, len(sets), step)
+
+        def matrix(k: int) -> np.ndarray:
+            m = np.zeros((min(step, len(sets) - k), width), np.float32)
+            own = (row >= k) & (row < k + step)
+            m[row[own] - k, column[own]] = 1
+            return m
+
+        for i in blocks if width else ():
+            x = matrix(i)
+            for j in blocks:
+                if j < i:
+                    continue
+                both = x @ (x if j == i else matrix(j)).T
+                n = size[i : i + step, None] + size[None, j : j + step]
+                linked = 100 * both >= percent * (n - both)
+                linked &= label[i : i + step, None] != label[None, j : j + step]
+                for a, b in zip(*np.nonzero(linked)):
+                    p, q = top(int(label[i + a])), top(int(label[j + b]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        found.append((int(uid[i + a]), int(uid[j + b])))
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components in a bucket's members (key, uid, label, n); large buckets in tiles, so a task stays bounded."""
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("lo"), F.greatest(t, F.col("own")).alias("hi")))
+    rows = members.withColumn("tiles", tiles).withColumn("own", own).select("key", "uid", "label", F.explode(pair).alias("t")).select("key", "uid", "label", "t.lo", "t.hi")
+    return rows.join(sets, "uid").groupBy("key", "lo", "hi").applyInArrow(_merging(percent), "a long, b long")
 
 
 def link(docs: DataFrame, percent: int = 85, k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -201,18 +279,10 @@ def link(docs: DataFrame, percent: int = 85, k: int = 5) -> tuple[DataFrame, Dat
     # what stars can't settle: buckets whose members are in several components
     label = components(links)
     labelled = members.join(label.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", F.coalesce("root", "uid").alias("label"))
-    labelled = materialize(labelled, "labelled")
-    open_buckets = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    rest = materialize(labelled.join(open_buckets.select("key", "n"), "key"), "rest")
-    small = rest.where(F.col("n") <= LARGE).select("key", "uid", "label")
-    large = _divided(rest.where(F.col("n") > LARGE).select("key", "uid", "label"), nodes)
-    parts = materialize(small.unionByName(large), "parts")
-    x, y = parts.alias("x"), parts.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.label") != F.col("y.label")))
-    across = across.select(F.col("y.uid").alias("a"), F.col("x.uid").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    across = materialize(_estimated(across, nodes, threshold), "across")
-    more = _sets(docs, known.join(ids(across), "uid", "left_semi"), k)
-    links = links.unionByName(materialize(_confirmed(across, more, percent), "links"))
+    rest = _open(materialize(labelled, "labelled"))
+    more = _sets(docs, known.join(rest.select("uid").distinct(), "uid", "left_semi"), k)
+    rest = _open(_reachable(rest.select("key", "uid", "label"), more, percent))
+    links = links.unionByName(materialize(_across(rest, more, percent), "links"))
     return every, links
 
 
