@@ -15,8 +15,10 @@ together with those of other blocks.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,43 +29,103 @@ from lorewell.scratch import materialize
 
 #: Pieces in a block, about; blocks whose loose sequences are packed together; free tokens from which a sequence is loose.
 BLOCK, TOGETHER, LOOSE = 4096, 32, 16
-#: Entries of a worker's cache of word ids, and the longest word kept there.
-CACHE, CACHED_CHARS = 400_000, 64
+#: Entries of a generation of a worker's cache of word ids, the longest word kept there, and texts encoded together.
+CACHE, CACHED_CHARS, TEXTS = 600_000, 64, 256
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in ("uid", "doc_id", "piece", "start", "length", "ids_crc32")])
 PACKED = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, block long, sequence long, offset long, free long"
 
 
-class _Words(dict):
-    """Ids of what stands between spaces and line ends; no token reaches over those."""
+#: A word of Latin letters with ASCII marks (no apostrophe) before and after: three pieces of the pre-tokenizer.
+PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class _Kept:
+    """A bounded cache in two generations; what a block of texts needs is all in the younger one."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {"": b""}, {}
+
+    def missing(self, keys) -> list[str]:
+        out = []
+        for k in keys:
+            if k not in self.young:
+                found = self.old.get(k)
+                if found is None:
+                    out.append(k)
+                else:
+                    self.young[k] = found
+        return out
+
+    def turn(self) -> None:
+        if len(self.young) > self.size:
+            self.old, self.young = {k: v for k, v in self.young.items() if len(k) <= CACHED_CHARS}, {"": b""}
+
+
+class Words:
+    """Ids of texts by what stands between spaces and line ends, over which no token reaches."""
 
     def __init__(self, path: str):
-        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHE:
-                self.clear()
-                self[""] = b""
-            self[word] = ids
-        return ids
+        self.words, self.marks = _Kept(CACHE), _Kept(CACHE // 8)
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _many(self, words: list[str]) -> list[bytes]:
+        """The ids of words that are a piece each, encoded as one text."""
+        if not words:
+            return []
+        found = self.model.encode(" ".join(words), add_special_tokens=False)
+        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1)) * 4
+        if found.word_ids[-1] != len(words) - 1:
+            return [self._one(w) for w in words]
+        ids = np.array(found.ids, "<u4").tobytes()
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def _learn(self, words: list[str]) -> None:
+        """Fill in the ids of words: a plain one is put together from its marks and its letters, which are a word too."""
+        plain, young = [], self.words.young
+        for w in words:
+            if w.isascii() and w.isalpha() and w.islower():
+                continue
+            m = PLAIN.fullmatch(w) if "<|" not in w else None
+            if m:
+                before, letters, after = m.groups()
+                plain.append((w, before, letters.lower() if letters.isascii() else letters, after))
+            else:
+                young[w] = self._one(w)
+        cores = {w for w in words if w not in young}.difference([x[0] for x in plain if x[0] != x[2]])
+        new = self.words.missing(cores.union([x[2] for x in plain]))
+        young.update(zip(new, self._many(new)))
+        marks = self.marks.missing({m for x in plain for m in (x[1], x[3])})
+        self.marks.young.update((m, self._one(m)) for m in marks)
+        marks = self.marks.young
+        for w, before, core, after in plain:
+            young[w] = marks[before] + young[core] + marks[after]
+        self.marks.turn()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts as little-endian unsigned 32-bit integers."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        self._learn(self.words.missing(set(chain.from_iterable(split))))
+        out = [b"".join(map(self.words.young.__getitem__, s)) for s in split]
+        self.words.turn()
+        return out
 
 
 @lru_cache(maxsize=2)
-def _words(path: str) -> _Words:
-    return _Words(path)
+def _words(path: str) -> Words:
+    return Words(path)
 
 
 def token_ids(text: str, path: str) -> bytes:
-    """The ids of a whole text as little-endian unsigned 32-bit integers."""
-    return b"".join(map(_words(path).__getitem__, text.replace("\n", " ").split(" ")))
+    return _words(path).encode([text])[0]
 
 
 def cut(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1) -> DataFrame:
@@ -73,11 +135,13 @@ def cut(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1) -> DataF
         stop, step = end.to_bytes(4, "little"), 4 * capacity
         for b in batches:
             rows = []
-            for uid, doc, text in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), texts(b)):
-                ids = token_ids(text, path) + stop
-                for k in range(0, len(ids), step):
-                    part = ids[k : k + step]
-                    rows.append((uid, doc, k // step, k // 4, len(part) // 4, zlib.crc32(part)))
+            for at in range(0, b.num_rows, TEXTS):
+                some = b.slice(at, TEXTS)
+                for uid, doc, ids in zip(some.column("uid").to_pylist(), some.column("doc_id").to_pylist(), _words(path).encode(texts(some))):
+                    ids += stop
+                    for k in range(0, len(ids), step):
+                        part = ids[k : k + step]
+                        rows.append((uid, doc, k // step, k // 4, len(part) // 4, zlib.crc32(part)))
             yield batch(PIECES_ARROW, list(zip(*rows)) if rows else [[]] * len(PIECES_ARROW))
 
     source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
