@@ -16,6 +16,8 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +36,7 @@ ODD_SPACE = regex.compile(r"\s|\p{White_Space}")
 #: Entries of a worker's cache, and the longest unit kept there.
 CACHE, CACHED_CHARS = 400_000, 64
 NO_MERGE = 1 << 62
+LITTLE = sys.byteorder == "little"
 DECODE_IDS = 1 << 16
 
 
@@ -58,27 +61,35 @@ def byte_symbols() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+def _le(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if not LITTLE:
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Odd(Exception):
     """The text isn't plain words parted by single spaces or line ends."""
 
 
-class _Chunks(dict):
-    """Ids of the chunks between spaces; a chunk stands for itself with the space before it."""
+class _Kept(dict):
+    """A bounded cache in two generations: what is still in use moves on when the younger one is full."""
 
-    def __init__(self, model: ByteBpe, space: str):
+    def __init__(self, find, size: int = CACHE // 2):
         super().__init__()
-        self.model, self.space = model, space
-
-    def __missing__(self, chunk: str) -> bytes:
-        line = chunk[:1] == "\n"
-        if not chunk or ODD_SPACE.search(chunk, 1 if line else 0) or line and len(chunk) == 1:
-            raise _Odd
-        ids = self.model.unit(chunk if line else self.space + chunk)
-        if len(chunk) <= CACHED_CHARS:
-            if len(self) >= CACHE:
+        self.find, self.size, self.old = find, size, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key)
+        if found is None:
+            found = self.find(key)
+        if len(key) <= CACHED_CHARS:
+            if len(self) >= self.size:
+                self.old = dict(self)
                 self.clear()
-            self[chunk] = ids
-        return ids
+            self[key] = found
+        return found
 
 
 class Transducer:
@@ -128,7 +139,7 @@ class ByteBpe:
             self.token_bytes[i] = s.encode()
         self.token_length = [len(x) for x in self.token_bytes]
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.after_space, self.at_start = _Chunks(self, " "), _Chunks(self, "")
+        self.pieces, self.after_space = _Kept(self.piece_ids), _Kept(self.chunk)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge the leftmost pair of lowest rank until none is left."""
@@ -152,18 +163,32 @@ class ByteBpe:
             yield run.feed(piece[k : k + 1024].encode())
         yield run.finish()
 
+    def piece_ids(self, piece: str) -> bytes:
+        if len(piece) <= CACHED_CHARS:  # one window holds it
+            return _le(self.merge(list(map(self.byte_id.__getitem__, piece.encode()))))
+        return b"".join(map(_le, self.piece(piece)))
+
     def unit(self, unit: str) -> bytes:
-        return b"".join(np.array(ids, "<u4").tobytes() for p in PIECES.finditer(unit) for ids in self.piece(p[0]))
+        """The ids of white space and a word, in which the pre-tokenizer finds its pieces."""
+        return b"".join([self.pieces[p[0]] for p in PIECES.finditer(unit)])
+
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of what stands after a space, with that space; after a line end, with that."""
+        line = chunk[:1] == "\n"
+        if not chunk or ODD_SPACE.search(chunk, 1 if line else 0) or line and len(chunk) == 1:
+            raise _Odd
+        return self.unit(chunk if line else " " + chunk)
 
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
-        chunks = text.replace("\n", " \n").split(" ")
+        first, *chunks = text.replace("\n", " \n").split(" ")
         try:
-            first = self.at_start[chunks[0]] if text[0] != "\n" else self.at_start[chunks.pop(0) or chunks[0]]
-            return first + b"".join(map(self.after_space.__getitem__, chunks[1:]))
+            if first and ODD_SPACE.search(first):
+                raise _Odd
+            return self.unit(first) + b"".join(map(self.after_space.__getitem__, chunks))
         except _Odd:
-            return b"".join(self.unit(m[0]) for m in UNITS.finditer(text))
+            return b"".join([self.unit(m[0]) for m in UNITS.finditer(text)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers; special strings count as their tokens."""
