@@ -9,8 +9,9 @@ divided by the number of rules and strata (Bonferroni), and the allowed false
 rejection by the number of rules, so that with confidence 1 - ``delta`` all
 rules together reject at most ``alpha`` of the good documents of every stratum.
 Among the cutoffs shown, the most lenient that still catches nearly as many bad
-documents as any is taken. A stratum with too few labels gets no cutoff and
-keeps its documents. Only a histogram of bounded size reaches the driver.
+documents as any is taken. Every stratum is tested by itself, however many there
+are; one with too few labels gets no cutoff and keeps its documents. The tests
+run on the executors, and only the cutoffs found are broadcast.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lorewell.llm.arrow import map_batches
 from lorewell.scratch import materialize
 
 #: Fixed by the contract: what counts as white space and as a symbol.
 SPACE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_bangs", "n_distinct")
-#: Cutoffs of a rule; strata with cutoffs of their own (the best labelled ones; the others are one stratum).
-STEPS, STRATA = 40, 32
-OTHER = "~other"
+#: Cutoffs of a rule.
+STEPS = 40
 
 
 @dataclass(frozen=True)
@@ -148,50 +149,47 @@ def _stratum(docs: DataFrame) -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit("~none")) if "lang" in docs.columns else F.lit("~all")
 
 
-def fit(counted: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.1) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule, from all labelled documents.
+def fit(counted: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.1) -> DataFrame:
+    """stratum and a column for each rule with its cutoff there (null: none), of the strata with any, from all labelled documents.
 
     ``counted``: doc_id, stratum and the COUNTS; ``labels``: doc_id, quality (1: good).
     """
     label = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     seen = counted.where("n_words > 0").join(label, "doc_id").select("stratum", "quality", *[r.step().alias(r.name) for r in RULES])
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.col(r.name).alias("step")) for i, r in enumerate(RULES)]))
-    cells = seen.select("stratum", "quality", each.alias("x")).groupBy("stratum", "quality", "x.rule", "x.step").count()
-    cells = materialize(cells, "cells")
-    top = cells.where("rule = 0").groupBy("stratum").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "stratum").limit(STRATA)
-    named = {r["stratum"] for r in top.collect()}
-    pooled = F.when(F.col("stratum").isin(*named), F.col("stratum")).otherwise(F.lit(OTHER)) if named else F.lit(OTHER)
-    bounded = cells.groupBy(pooled.alias("stratum"), (F.col("quality") > 0).alias("good"), "rule", "step").agg(F.sum("count").alias("n"))
-    table: dict[str, np.ndarray] = {}
-    for r in bounded.collect():  # at most (STRATA + 1) * 2 * rules * (STEPS + 2) rows
-        table.setdefault(r["stratum"], np.zeros((2, len(RULES), STEPS + 2), np.int64))[int(r["good"]), r["rule"], r["step"]] = r["n"]
-    level = delta / (len(RULES) * max(1, len(table)))
-    found: dict[str, dict[str, float]] = {}
-    for stratum, t in sorted(table.items()):
-        found[stratum] = {}
-        for i, rule in enumerate(RULES):
-            step = choose_step(t[1, i].tolist(), t[0, i].tolist(), alpha / len(RULES), level)
-            if step is not None:
-                found[stratum][rule.name] = rule.cutoff(step)
-    return found
-
-
-def rejected(cutoffs: dict[str, dict[str, float]]) -> Column:
-    """Whether the rules of a row's stratum reject it; needs columns ``stratum`` and the COUNTS."""
-
-    def broken(own: dict[str, float]) -> Column:
-        out = F.lit(False)
-        for r in RULES:
-            if r.name in own:
-                ratio, cut = F.expr(r.ratio), F.lit(own[r.name])
-                out = out | F.coalesce(ratio >= cut if r.strict < r.lenient else ratio <= cut, F.lit(False))
-        return out
-
-    verdict = broken(cutoffs.get(OTHER, {}))
-    for stratum, own in cutoffs.items():
-        if stratum != OTHER:
-            verdict = F.when(F.col("stratum") == stratum, broken(own)).otherwise(verdict)
-    return verdict
+    cells = seen.select("stratum", (F.col("quality") > 0).alias("good"), each.alias("x")).groupBy("stratum", "good", "x.rule", "x.step")
+    cells = materialize(cells.agg(F.count(F.lit(1)).alias("n")), "cells")
+    level = delta / (len(RULES) * max(1, cells.select("stratum").distinct().count()))
+
+    def make():
+        def choose(b: pa.RecordBatch) -> list:
+            steps = []
+            for own in b.column("cells").to_pylist():
+                t = np.zeros((2, STEPS + 2), np.int64)
+                for x in own:
+                    t[int(x["good"]), x["step"]] = x["n"]
+                steps.append(choose_step(t[1].tolist(), t[0].tolist(), alpha / len(RULES), level))
+            rules = b.column("rule").to_pylist()
+            return [b.column("stratum"), rules, [None if x is None else RULES[i].cutoff(x) for i, x in zip(rules, steps)]]
+
+        return choose
+
+    tables = cells.groupBy("stratum", "rule").agg(F.collect_list(F.struct("good", "step", "n")).alias("cells"))  # 2 * (STEPS + 2) at most
+    chosen = map_batches(tables, make, "stratum string, rule int, cutoff double").where("cutoff is not null")
+    return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == i, F.col("cutoff"))).alias(r.name) for i, r in enumerate(RULES)])
+
+
+def with_rejected(counted: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Add a column ``rejected``: whether the rules of a row's stratum reject it; needs columns ``stratum`` and the COUNTS.
+
+    The cutoffs are broadcast, as a stratum may have most rows; there is one row for some 1,150 good labels at most.
+    """
+    own = cutoffs.select("stratum", F.struct(*[r.name for r in RULES]).alias("_cut"))
+    broken = F.lit(False)
+    for r in RULES:
+        ratio, cut = F.expr(f"if(n_words > 0, {r.ratio}, null)"), F.col("_cut")[r.name]  # hoisted out of the conjunction, it meets rows without words
+        broken = broken | F.coalesce(ratio >= cut if r.strict < r.lenient else ratio <= cut, F.lit(False))
+    return counted.join(F.broadcast(own), "stratum", "left").withColumn("rejected", broken)
 
 
 def _base_failed() -> Column:
@@ -208,9 +206,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: flo
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _stratum(docs).alias("stratum"))
     counted = materialize(with_counts(narrow, "_c").select("doc_id", "stratum", "_c.*"), "counts")
-    cutoffs = fit(counted, labels, alpha, delta)
-    kept = ~_base_failed() & ~rejected(cutoffs)
-    return counted.select("doc_id", *COUNTS[:5], _base_failed().alias("base_failed"), kept.alias("kept"), "stratum")
+    kept = ~_base_failed() & ~F.col("rejected")
+    return with_rejected(counted, fit(counted, labels, alpha, delta)).select("doc_id", *COUNTS[:5], _base_failed().alias("base_failed"), kept.alias("kept"), "stratum")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.1) -> DataFrame:
@@ -220,4 +217,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: fl
     cutoffs = fit(counted, labels, alpha, delta)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     each = with_counts(docs.select(whole, "text", _stratum(docs).alias("stratum")), "_c").select("_row", "stratum", "_c.*")
-    return each.where(~_base_failed() & ~rejected(cutoffs)).select("_row.*")
+    return with_rejected(each, cutoffs).where(~_base_failed() & ~F.col("rejected")).select("_row.*")

@@ -186,6 +186,20 @@ def test_quality_rules(docs, empty, labels):
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == {1, 2, 3, None, 10, 13}
 
 
+def test_every_language_is_judged_by_its_own_labels(spark):
+    """Of 61 labelled languages, one with long words and few labels, all good, loses no document to cutoffs learned from others."""
+    short, long = " ".join(f"w{i:03}" for i in range(60)), " ".join(f"longwordoftwentyfour{i:04}" for i in range(60))
+    bad = " ".join(f"badwordoftwentythree{i:03}" for i in range(60))
+    texts = [("l00", short, 1, 4000), ("l00", bad, 0, 50), *[(f"l{k:02}", short, 1, 250) for k in range(1, 60)], ("l55", bad, 0, 9), ("zz", long, 1, 5), *[(f"l{k:02}", short, 1, 50) for k in range(1, 40)]]
+    rows = [(lang, text, q) for lang, text, q, n in texts for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t, _) in enumerate(rows)] + [(len(rows), long, "none"), (-1, None, "l00")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q) for i, (_, _, q) in enumerate(rows)], "doc_id long, quality int")
+    for out in (quality.verdicts(docs, labels).where("kept").select(F.col("stratum").alias("lang")), quality.keep_good(docs, labels)):
+        kept = {r["lang"]: r["count"] for r in out.groupBy("lang").count().collect()}
+        assert kept["zz"] == 5 and kept["none"] == 1  # too few labels, or none: no cutoff
+        assert kept["l00"] == 4000 and kept["l55"] == 259 and kept["l39"] == 300
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs, sharding.layout(16), sharding.layout(17)).collect()
     assert len(rows) == len(TEXTS) and all(r["grown_shard"] in (r["shard"], 16) for r in rows)
