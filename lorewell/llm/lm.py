@@ -12,8 +12,9 @@ end, so the scores of all texts are one probability distribution.
 text as it codes it). Over a corpus the pretrained model is a table: counts of
 all contexts of the training texts are gathered by a shuffle, and the log
 probability of every symbol in every context follows from them with numpy, so a
-text is scored by table look-ups. The trie keeps at most MAX_CONTEXTS contexts
-of the highest order, the most frequent ones; all shorter contexts are kept.
+text is scored by table look-ups. Workers hold the MAX_CONTEXTS most frequent
+contexts of the highest order and all shorter ones; the other contexts of the
+highest order stay a distributed table, to which the texts' symbols are joined.
 """
 
 from __future__ import annotations
@@ -31,15 +32,16 @@ from lorewell.llm.arrow import batch, map_batches, texts
 from lorewell.scratch import materialize
 
 ORDER, END = 3, 0xFF
-#: Contexts of the highest order in the table: 64 MB in a worker.
+#: Contexts of the highest order in a worker's table: 64 MB. The others are joined.
 MAX_CONTEXTS = 1 << 16
-#: Words in the broadcast table, distinct words a task holds before it passes them on, bytes scored at once.
-FREQUENT, HELD, CHUNK = 1 << 18, 400_000, 1 << 22
+#: Words in the broadcast table, distinct words a task holds before it passes them on, bytes scored at once, rows passed on at once.
+FREQUENT, HELD, CHUNK, ROWS = 1 << 18, 400_000, 1 << 22, 1 << 17
 #: Longer words are counted by a digest.
 WORD_BYTES = 16
 GRAMS = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 WORDS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 MISSES = pa.schema([("uid", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+BEYOND = pa.schema([("uid", pa.int64()), ("gram", pa.int64()), ("n", pa.int64()), ("low", pa.float64()), ("onward", pa.float64()), ("seen", pa.bool_())])
 
 
 class Ppm:
@@ -111,12 +113,13 @@ class Table:
     """log10 probability by row of context and symbol, and the row of every context of three bytes."""
 
     def __init__(self, low_grams: np.ndarray, low_n: np.ndarray, grams: np.ndarray, n: np.ndarray):
-        """``low_grams``: two bytes of context and a symbol, all of them; ``grams``: three bytes and a symbol, of the contexts kept."""
+        """``low_grams``: two bytes of context and a symbol, all of them; ``grams``: three bytes and a symbol, of the contexts held."""
         none = np.zeros((1, 256))
         count0 = none.copy()
         np.add.at(count0[0], low_grams & 255, low_n)
         if not len(low_grams):
             self.logs, self.rows = np.full((1, 256), math.log10(1 / 256), np.float32), np.zeros(1 << 24, np.int32)
+            self.two, self.three = 1, 1
             return
         p0, e0 = _layer(count0, none, np.full((1, 256), 1 / max(1, 256 - int((count0 > 0).sum()))), np.ones(1))
         c1 = np.unique(low_grams >> 8 & 255)
@@ -127,6 +130,10 @@ class Table:
         count2 = _dense(c2, low_grams, low_n)
         up = np.searchsorted(c1, c2 & 255)
         p2, e2 = _layer(count2, count1[up], p1[up], e1[up])
+        # of the contexts of two bytes: their first row and the one after; what a longer context needs of them
+        self.two, self.three = 1 + len(c1), 1 + len(c1) + len(c2)
+        self.seen = np.packbits(count2 > 0, axis=1)
+        self.log_total, self.log_escape = np.log10(count2.sum(1) + (count2 > 0).sum(1)), np.log10(e2)
         c3 = np.unique(grams >> 8)
         logs = [np.log10(p).astype(np.float32) for p in (p0, p1, p2)]
         starts = np.searchsorted(grams, c3 << 8)
@@ -150,6 +157,26 @@ class Table:
             total += float(self.logs[self.rows[part >> np.uint32(8)], part & np.uint32(255)].sum(dtype=np.float64))
         return total
 
+    def beyond(self, text: bytes) -> Iterator[list[np.ndarray]]:
+        """gram, n, low, onward, seen of the symbols whose context of three bytes isn't held although that of two bytes is known.
+
+        ``low`` is how ``score`` counts the symbol; ``onward`` is the part of its
+        score after an escape from three bytes that doesn't depend on them: the
+        log10 of its count after two bytes if it was ``seen`` there, else of its
+        probability after a second escape.
+        """
+        g = _grams(text)
+        for k in range(0, len(g), CHUNK):
+            part = g[k : k + CHUNK]
+            row = self.rows[part >> np.uint32(8)]
+            grams, n = np.unique(part[(row >= self.two) & (row < self.three)], return_counts=True)
+            row, symbol = self.rows[grams >> np.uint32(8)], grams & np.uint32(255)
+            two = row - self.two
+            low = self.logs[row, symbol].astype(np.float64)
+            seen = (self.seen[two, symbol >> np.uint32(3)] >> (7 - (symbol & np.uint32(7))) & 1).astype(bool) if len(grams) else np.zeros(0, bool)
+            onward = low + np.where(seen, self.log_total[two], -self.log_escape[two]) if len(grams) else low
+            yield [grams.astype(np.int64), n, low, onward, seen]
+
 
 def held_out(doc_id: Column, fold: int = 2, folds: int = 7) -> Column:
     """Whether a document isn't learned from; a null doc_id counts as the empty text."""
@@ -195,16 +222,41 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(WORDS, [[_key(w) for w in counts], list(counts.values())])
 
 
-def train_table(train: DataFrame) -> tuple[np.ndarray, ...]:
-    """The arguments of ``Table``, of bounded size, from all texts of ``train``."""
+def train_table(train: DataFrame) -> tuple[tuple[np.ndarray, ...], DataFrame | None]:
+    """The arguments of ``Table``, of bounded size, and the contexts beyond them (None: there are none), from all texts of ``train``."""
     counted = train.select("text").mapInArrow(_count_grams, "gram long, n long")
     grams = materialize(counted.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     context = F.shiftright("gram", 8)
-    kept = grams.groupBy(context.alias("c")).agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "c").limit(MAX_CONTEXTS)
-    high = grams.join(F.broadcast(kept.select("c")), context == F.col("c"), "left_semi").toPandas()
-    low = grams.groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.sum("n").alias("n")).toPandas()
+    contexts = grams.groupBy(context.alias("c")).agg(F.sum("n").alias("m"))
+    held = materialize(contexts.orderBy(F.desc("m"), "c").limit(MAX_CONTEXTS).select("c"), "contexts")
+    low_grams = materialize(grams.groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.sum("n").alias("n")), "low")
+    high, low = grams.join(F.broadcast(held), context == F.col("c"), "left_semi").toPandas(), low_grams.toPandas()
     high, low = high.sort_values("gram"), low.sort_values("gram")
-    return tuple(x.to_numpy(np.int64) for x in (low["gram"], low["n"], high["gram"], high["n"]))
+    more = contexts.count() > MAX_CONTEXTS
+    rare = _rare_contexts(grams.join(F.broadcast(held), context == F.col("c"), "left_anti"), low_grams) if more else None
+    return tuple(x.to_numpy(np.int64) for x in (low["gram"], low["n"], high["gram"], high["n"])), rare
+
+
+def _rare_contexts(grams: DataFrame, low: DataFrame) -> DataFrame:
+    """c, logs, escaped_seen, escaped: what ``_layer`` needs of each context of three bytes, as log10.
+
+    ``logs``: by symbol that followed; the others get ``escaped_seen`` or
+    ``escaped``, if they followed the last two bytes or not, and ``onward``.
+    """
+    gram, n, zero = F.col("gram"), F.col("n"), F.lit(0)
+    below = low.select(F.col("gram").alias("below"), F.col("n").alias("n2"))
+    two = low.groupBy(F.shiftright("gram", 8).alias("c2")).agg(F.sum("n").alias("total2"), F.count(F.lit(1)).alias("distinct2"))
+    pairs = F.collect_list(F.struct(gram.bitwiseAND(255).cast("int").alias("s"), F.log10(n).alias("log")))  # 256 at most
+    sums = grams.withColumn("below", gram.bitwiseAND(0xFFFFFF)).join(below, "below").groupBy(F.shiftright("gram", 8).alias("c"))
+    sums = sums.agg(pairs.alias("pairs"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum("n2").alias("ruled_out"))
+    sums = sums.withColumn("c2", F.col("c").bitwiseAND(0xFFFF)).join(two, "c2")
+    log_all = F.log10(F.col("total") + F.col("distinct"))
+    rest = F.col("distinct2") - F.col("distinct")
+    weight = F.log10(F.greatest(F.col("total2") - F.col("ruled_out") + rest, F.lit(1)))
+    escape = F.log10("distinct") - log_all
+    logs = F.map_from_entries(F.transform("pairs", lambda x: F.struct(x["s"], x["log"] - log_all)))
+    onward = F.when(rest > 0, F.log10(F.greatest(rest, F.lit(1))) - weight).otherwise(zero.cast("double"))
+    return materialize(sums.select("c", logs.alias("logs"), (escape - weight).alias("escaped_seen"), (escape + onward).alias("escaped")), "rare")
 
 
 def train_words(train: DataFrame) -> DataFrame:
@@ -256,7 +308,8 @@ def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7) -> DataFrame
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("held_out", held_out(F.col("doc_id"), fold, folds))
     train = rows.where(~F.col("held_out"))
-    table = spark.sparkContext.broadcast(train_table(train))
+    held, rare_contexts = train_table(train)
+    table = spark.sparkContext.broadcast(held)
     words = train_words(train)
     ends = train.count()
     sums = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -290,11 +343,36 @@ def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7) -> DataFrame
                 if rare:
                     yield batch(MISSES, [[uid] * len(rare), [_key(w) for w in rare], list(rare.values())])
 
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, found, size = _of_worker("table", table, lambda x: Table(*x)), [], 0
+
+        def passed_on() -> pa.RecordBatch:
+            return batch(BEYOND, [pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*found), BEYOND)])
+
+        for b in batches:
+            for uid, text in zip(b.column("uid").to_pylist(), texts(b)):
+                for columns in model.beyond(text.encode()):
+                    found.append([np.full(len(columns[0]), uid, np.int64), *columns])
+                    size += len(columns[0])
+                    if size >= ROWS:
+                        yield passed_on()
+                        found, size = [], 0
+        if found:
+            yield passed_on()
+
     first = map_batches(rows, make, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
     rare = rows.select("uid", "text").mapInArrow(misses, "uid long, word binary, n long")
     rare = rare.join(words, "word").groupBy("uid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("sum"))
-    zero = F.lit(0)
-    return first.join(rare, "uid", "left").select(
+    zero, score = F.lit(0), F.col("score")
+    out = first.join(rare, "uid", "left")
+    if rare_contexts is not None:
+        symbols = rows.select("uid", "text").mapInArrow(beyond, "uid long, gram long, n long, low double, onward double, seen boolean")
+        own = F.try_element_at("logs", F.col("gram").bitwiseAND(255).cast("int"))
+        log = F.coalesce(own, F.when(F.col("seen"), F.col("escaped_seen")).otherwise(F.col("escaped")) + F.col("onward"))
+        symbols = symbols.withColumn("c", F.shiftright("gram", 8)).join(rare_contexts, "c")
+        out = out.join(symbols.groupBy("uid").agg(F.sum(F.col("n") * (log - F.col("low"))).alias("change")), "uid", "left")
+        score = score + F.coalesce("change", zero.cast("double"))
+    return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", zero)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("sum", zero.cast("double")) - F.col("n_tokens") * F.lit(math.log10(tokens + distinct + 1))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("sum", zero.cast("double")) - F.col("n_tokens") * F.lit(math.log10(tokens + distinct + 1))).alias("base_score"), score.alias("score"),
     )

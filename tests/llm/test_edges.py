@@ -177,6 +177,19 @@ def test_lm_scores_equal_the_trie(docs, empty):
     assert lm.score_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("held", [1, 20])
+def test_lm_keeps_contexts_beyond_the_table_of_a_worker(docs, monkeypatch, held):
+    monkeypatch.setattr(lm, "MAX_CONTEXTS", held)
+    model = lm.Ppm()
+    for i, t in TEXTS:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2:
+            model.learn((t or "").encode())
+    score = {str(i): model.score((t or "").encode()) for i, t in TEXTS if i in (1, 3, 4, 7, 12, 13, 14, 15, 16)}
+    rows = lm.score_documents(docs).collect()
+    assert len(rows) == len(TEXTS)
+    assert {str(r["doc_id"]): r["score"] for r in rows if str(r["doc_id"]) in score} == pytest.approx(score, rel=1e-5)
+
+
 def test_quality_rules(docs, empty, labels):
     rows = {str(r["doc_id"]): r for r in quality.verdicts(docs, labels).collect()}
     assert rows["4"]["n_words"] == 0 and rows["4"]["base_failed"] and not rows["4"]["kept"]
