@@ -17,6 +17,7 @@ def main(argv: list[str] | None = None) -> None:
         parser.add_argument(f"--{name}", required=True)
     parser.add_argument("--mode", choices=["graph", "dense"], default="graph")
     parser.add_argument("--embedding", default="hashed-words")
+    parser.add_argument("--dataset", default="", help="name of the question set; hotpotqa joins sentences without a space")
     parser.add_argument("--overwrite", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("lorewell").getOrCreate()
@@ -24,7 +25,7 @@ def main(argv: list[str] | None = None) -> None:
     engine.index(files.corpus(spark, args.corpus))
     rows = files.questions(spark, args.questions).withColumn("query_id", F.xxhash64("id"))
     ranked = engine.retrieve(rows.select("query_id", "question")).cache()
-    gold = evaluate.gold_docs(rows).join(rows.select("id", "query_id"), "id").select("query_id", "gold")
+    gold = evaluate.gold_docs(rows, evaluate.sentence_separator(args.dataset)).join(rows.select("id", "query_id"), "id").select("query_id", "gold")
     engine.recall(ranked, gold)[0].orderBy("k").show()
     answers = evaluate.gold_answers(rows).join(rows.select("id", "query_id"), "id").select("query_id", F.col("answers").alias("gold_answers"))
     out, scores = engine.rag_qa(ranked, answers)

@@ -56,15 +56,20 @@ def qa_scores(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return single.agg(F.round(F.avg("em"), 4).alias("ExactMatch"), F.round(F.avg("f1"), 4).alias("F1")), single
 
 
-def gold_docs(rows: DataFrame) -> DataFrame:
+def sentence_separator(dataset: str) -> str:
+    """What stands between the sentences of a context: nothing in hotpotqa, else a space."""
+    return "" if dataset.startswith("hotpotqa") else " "
+
+
+def gold_docs(rows: DataFrame, separator: str = " ") -> DataFrame:
     """id, gold: the supporting passages of questions, from whichever of the three shapes they have.
 
-    ``supporting_titles`` with ``context`` (title, sentences; joined without a
-    space), ``contexts``, or ``paragraphs`` (text or paragraph_text); a paragraph
+    ``supporting_titles`` with ``context`` (title, sentences; joined by
+    ``separator``), ``contexts``, or ``paragraphs`` (text or paragraph_text); a paragraph
     without the flag counts as supporting.
     """
     doc = lambda t, x: F.concat(t, F.lit("\n"), x)
-    by_title = F.transform(F.filter("context", lambda c: F.array_contains("supporting_titles", c["title"])), lambda c: doc(c["title"], F.array_join(c["sentences"], "")))
+    by_title = F.transform(F.filter("context", lambda c: F.array_contains("supporting_titles", c["title"])), lambda c: doc(c["title"], F.array_join(c["sentences"], separator)))
     flagged = lambda c: F.filter(c, lambda p: F.coalesce(p["is_supporting"], F.lit(True)))
     by_context = F.transform(flagged("contexts"), lambda p: doc(p["title"], p["text"]))
     by_paragraph = F.transform(flagged("paragraphs"), lambda p: doc(p["title"], F.coalesce(p["text"], p["paragraph_text"])))

@@ -22,3 +22,7 @@ context array<struct<title:string,sentences:array<string>>>,
 supporting_titles array<string>,
 gold_ans array<string>, reference array<string>, obj array<string>, possible_answers array<string>,
 o_wiki_title array<string>, o_aliases array<string>, answer_aliases array<string>"""
+#: Fields of question files that ``sources.files.questions`` brings into the form of QUESTIONS: a string or a list of strings,
+#: and arrays of mixed types ([title, number], [title, [sentences]]).
+STRING_OR_LIST = ("answer", "gold_ans", "reference", "obj", "possible_answers", "o_wiki_title", "o_aliases", "answer_aliases")
+MIXED = ("supporting_facts", "context")

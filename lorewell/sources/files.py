@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType, VariantType
 
 from lorewell import schemas
 from lorewell.functions.text import content_key
@@ -17,8 +18,26 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
-    """The questions of a JSON array with whatever gold fields they carry."""
-    return spark.read.schema(schemas.QUESTIONS).json(path, multiLine=True)
+    """The questions of a JSON array with whatever gold fields they carry.
+
+    Answer fields may be a string or a list. ``supporting_facts`` ([title, number])
+    give supporting_titles; ``context`` has [title, [sentences]].
+    """
+    wanted = StructType.fromDDL(schemas.QUESTIONS)
+    as_is = [f for f in wanted if f.name not in (*schemas.STRING_OR_LIST, *schemas.MIXED, "supporting_titles")]
+    schema = StructType([*as_is, *[StructField(c, VariantType()) for c in (*schemas.STRING_OR_LIST, *schemas.MIXED)]])
+    rows = spark.read.schema(schema).json(path, multiLine=True)
+    get = F.try_variant_get
+    parts = F.transform(get("context", "$", "array<variant>"), lambda c: F.struct(get(c, "$[0]", "string").alias("title"), get(c, "$[1]", "array<string>").alias("sentences")))
+    titles = F.transform(get("supporting_facts", "$", "array<variant>"), lambda x: get(x, "$[0]", "string"))
+    made = {"supporting_titles": titles, "context": parts} | {c: _strings(F.col(c)) for c in schemas.STRING_OR_LIST}
+    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in wanted.names])
+
+
+def _strings(value: Column) -> Column:
+    """The strings of a variant that is a string or a list of them."""
+    one = F.try_variant_get(value, "$", "string")
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<string>")).when(one.isNotNull(), F.array(one))
 
 
 def texts(spark: SparkSession, docs: list[str] | DataFrame) -> DataFrame:

@@ -108,6 +108,25 @@ def test_corpus_and_question_files(spark, tmp_path):
     assert evaluate.gold_docs(rows).first()["gold"] == ["T\nx y"] and evaluate.gold_answers(rows).first()["answers"] == ["a"]
 
 
+@pytest.mark.parametrize("dataset, body", [("hotpotqa", "One.Two."), ("2wikimultihopqa", "One. Two.")])
+def test_question_files_with_supporting_facts(spark, tmp_path, dataset, body):
+    context = [["A \"é\"", ["One.", "Two."]], ["B", ["No."]], ["C", ["Three."]]]
+    asked = [
+        {"id": "1", "question": "q?", "answer": "yes", "supporting_facts": [["A \"é\"", 0], ["A \"é\"", 1], ["C", 0]], "context": context},
+        {"id": "2", "question": "q?", "gold_ans": ["[1]", "2"], "answer_aliases": ["zwei"], "supporting_facts": [], "context": context},
+        {"id": "3", "question": "q?", "obj": "o", "possible_answers": '["o", "p"]', "o_wiki_title": "O", "o_aliases": "o", "contexts": [{"title": "T", "text": "x", "is_supporting": True}]},
+        {"id": "4", "question": "q?", "reference": "[\"r\"]", "paragraphs": [{"title": "P", "paragraph_text": "y"}]},
+    ]
+    (tmp_path / "q.json").write_text(json.dumps(asked))
+    from lorewell.operators import evaluate
+
+    rows = files.questions(spark, str(tmp_path / "q.json"))
+    gold = {r["id"]: sorted(r["gold"]) for r in evaluate.gold_docs(rows, evaluate.sentence_separator(dataset)).collect()}
+    assert gold == {"1": ["A \"é\"\n" + body, "C\nThree."], "2": [], "3": ["T\nx"], "4": ["P\ny"]}
+    answers = {r["id"]: sorted(r["answers"]) for r in evaluate.gold_answers(rows).collect()}
+    assert answers == {"1": ["yes"], "2": ["2", "[1]", "zwei"], "3": ["O", '["o", "p"]', "o"], "4": ['["r"]']}
+
+
 def test_cache_answers_each_key_once(spark):
     calls = spark.createDataFrame([("k1", "a"), ("k1", "a"), ("k2", "b")], "key string, prompt string")
     cache = spark.createDataFrame([("k2", "old", "{}")], "key string, message string, metadata string")
