@@ -48,11 +48,21 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def minimizers(h: np.ndarray) -> np.ndarray:
-    """For each window the smallest gram hash in it; the low 16 bits hold its place, so a new value is a new occurrence."""
+    """For each window the smallest gram hash in it, the leftmost of equal ones; the low 16 bits hold its place, so a new occurrence is a new value.
+
+    Places are counted anew in every stretch of windows whose grams 16 bits can
+    number; an occurrence used on both sides of a border counts twice.
+    """
     if len(h) < WINDOW:
         return np.zeros(0, np.uint64)
-    g = shingles.mix(shingles.rolling(h, GRAM))
-    low = g & np.uint64(~0xFFFF & shingles.MASK) | np.arange(len(g), dtype=np.uint64) & np.uint64(0xFFFF)
+    g = shingles.mix(shingles.rolling(h, GRAM)) & np.uint64(~0xFFFF & shingles.MASK)
+    more = WINDOW - GRAM
+    stretch = (1 << 16) - more
+    return np.concatenate([_smallest(g[k : k + stretch + more]) for k in range(0, len(g) - more, stretch)])
+
+
+def _smallest(g: np.ndarray) -> np.ndarray:
+    low = g | np.arange(len(g), dtype=np.uint64)
     n, have = WINDOW - GRAM + 1, 1
     while have < n:
         step = min(have, n - have)

@@ -146,6 +146,20 @@ def test_minimizers_are_those_of_the_windows():
     assert (m >> np.uint64(16)).tolist() == [int(g[i : i + n].min()) for i in range(len(h) - substring.WINDOW + 1)]
 
 
+@pytest.mark.parametrize("before", [*range(0, 31, 3), 65_536])
+def test_sketch_counts_every_repeat_of_a_run_across_a_border_of_places(before):
+    """A window in a run of one word, wherever the run lies, is counted at least as often as it occurs."""
+    rng = np.random.default_rng(before)
+    h = rng.integers(0, 1 << 63, 2 * 65_536 + 100).astype(np.uint64)
+    start = 65_536 - before
+    h[start : start + 26] = 7
+    m = substring.minimizers(h)
+    new = m[np.append(True, m[1:] != m[:-1])]
+    own = m[start : start + 7] | np.uint64(0xFFFF)
+    assert len(m) == len(h) - substring.WINDOW + 1 and len(set(own.tolist())) == 1
+    assert np.count_nonzero(new | np.uint64(0xFFFF) == own[0]) >= 7
+
+
 def test_sum_of_squares_packing():
     rng = np.random.default_rng(7)
     lengths = rng.integers(1, 400, 3000)
