@@ -3,7 +3,11 @@
 From the merge list alone ``sufficient_lookahead`` derives how many symbols to
 the right of a token can still change it. A window of the input is merged, the
 tokens that end at least that far before the window's end are emitted, and the
-rest stays in the buffer: memory is constant however long a piece is.
+rest stays in the buffer: memory is constant however long a piece is. Every
+piece goes through that transducer; what it gave for short ones is remembered.
+
+Texts are encoded in stretches that end where no token can reach over, and ids
+go on as they settle, so beside the text itself nothing grows with its length.
 
 The argument: a merge (u, v) of some rank happens at a place unless v is taken
 first by a merge (v, w) of lower rank. Whether that one happens depends in turn
@@ -33,6 +37,10 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 #: White space and the word after it; pieces never reach over the end of such a unit.
 UNITS = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 ODD_SPACE = regex.compile(r"\s|\p{White_Space}")
+#: Where no piece reaches over: between what isn't white space and a space or line end.
+BREAK = regex.compile(r"[^\s\p{White_Space}](?=[ \n])")
+#: Characters of a text encoded at once, about, if there are breaks.
+STRETCH = 1 << 15
 #: Entries of a worker's cache, and the longest unit kept there.
 CACHE, CACHED_CHARS = 400_000, 64
 NO_MERGE = 1 << 62
@@ -93,14 +101,18 @@ class _Kept(dict):
 
 
 class Transducer:
-    """Encodes one piece that arrives in parts; ``feed`` returns the ids that are settled."""
+    """Encodes one piece that arrives in parts; ``feed`` returns the ids that are settled.
+
+    A window holds four times the lookahead or the longest token, whichever is
+    more, so the first token always ends where it is settled.
+    """
 
     def __init__(self, model: ByteBpe):
         self.model, self.symbols = model, []
 
     def feed(self, data: bytes) -> list[int]:
         self.symbols += map(self.model.byte_id.__getitem__, data)
-        ahead, out = self.model.lookahead, []
+        ahead, out = self.model.reach, []
         while len(self.symbols) >= 4 * ahead:
             window = self.symbols[: 4 * ahead]
             end, settled = 0, 0
@@ -138,6 +150,7 @@ class ByteBpe:
         for s, i in self.special.items():
             self.token_bytes[i] = s.encode()
         self.token_length = [len(x) for x in self.token_bytes]
+        self.reach = max(self.lookahead, *(self.token_length[i] for i in vocab.values()))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces, self.after_space = _Kept(self.piece_ids), _Kept(self.chunk)
 
@@ -164,8 +177,6 @@ class ByteBpe:
         yield run.finish()
 
     def piece_ids(self, piece: str) -> bytes:
-        if len(piece) <= CACHED_CHARS:  # one window holds it
-            return _le(self.merge(list(map(self.byte_id.__getitem__, piece.encode()))))
         return b"".join(map(_le, self.piece(piece)))
 
     def unit(self, unit: str) -> bytes:
@@ -190,23 +201,59 @@ class ByteBpe:
         except _Odd:
             return b"".join([self.unit(m[0]) for m in UNITS.finditer(text)])
 
+    def _settled(self, text: str) -> Iterator[bytes]:
+        """The ids of a stretch without breaks, as they settle."""
+        for m in UNITS.finditer(text):
+            for p in PIECES.finditer(m[0]):
+                if p.end() - p.start() <= CACHED_CHARS:
+                    yield self.pieces[p[0]]
+                else:
+                    yield from map(_le, self.piece(p[0]))
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """The ids of a whole text in parts, as little-endian unsigned 32-bit integers; special strings count as their tokens."""
+        special = any(s in text for s in self.special)
+        for part in self.split_special.splititer(text) if special else (text,):
+            if part in self.special:
+                yield self.special[part].to_bytes(4, "little")
+                continue
+            at = 0
+            while at < len(part):
+                found = BREAK.search(part, at + STRETCH)
+                end = found.end() if found else len(part)
+                if end - at <= 2 * STRETCH:
+                    yield self._plain(part[at:end])
+                else:
+                    yield from self._settled(part[at:end])
+                at = end
+
     def encode(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers; special strings count as their tokens."""
-        if not any(s in text for s in self.special):
-            return self._plain(text)
-        return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self._plain(x) for x in self.split_special.split(text))
+        """The ids of a whole text at once."""
+        return b"".join(self.stream(text))
 
     def decode(self, ids: bytes) -> Iterator[str]:
-        """The text of encoded ids in parts, by an incremental byte-to-text state machine.
-
-        The machine's state is at most three bytes of an unfinished character;
-        bytes that can't be a character become U+FFFD.
-        """
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        """The text of encoded ids in parts."""
+        machine = Decoder(self)
         for k in range(0, len(ids), 4 * DECODE_IDS):
-            part = np.frombuffer(ids, "<u4", min(DECODE_IDS, (len(ids) - k) // 4), k)
-            yield machine.decode(b"".join(map(self.token_bytes.__getitem__, part.tolist())))
-        yield machine.decode(b"", True)
+            yield machine.feed(ids[k : k + 4 * DECODE_IDS])
+        yield machine.finish()
+
+
+class Decoder:
+    """Ids to text by an incremental byte-to-text state machine.
+
+    The machine's state is at most three bytes of an unfinished character;
+    bytes that can't be a character become U+FFFD.
+    """
+
+    def __init__(self, model: ByteBpe):
+        self.token_bytes, self.machine = model.token_bytes, codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: bytes) -> str:
+        return self.machine.decode(b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())))
+
+    def finish(self) -> str:
+        return self.machine.decode(b"", True)
 
 
 @lru_cache(maxsize=2)
@@ -229,8 +276,9 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode, then decode the ids: doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip; one row per input row.
 
     A null text counts as empty (no tokens). Nothing is shuffled and no text
-    leaves its task, so repeated rows and long texts need nothing special; an
-    empty table gives an empty result and other columns aren't read.
+    leaves its task, so repeated rows need nothing special; ids are digested and
+    decoded as they settle, so a long text is never held as ids. An empty table
+    gives an empty result and other columns aren't read.
     ``round_trip`` tells whether the decoded text equals the text.
     """
 
@@ -240,12 +288,14 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
         def each(b: pa.RecordBatch) -> list:
             n, ids_hash, text_hash, same = [], [], [], []
             for text in texts(b):
-                ids = model.encode(text)
-                own = hashlib.sha256()
-                for part in model.decode(ids):
-                    own.update(part.encode())
-                n.append(len(ids) // 4)
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
+                count, of_ids, own, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(model)
+                for ids in model.stream(text):
+                    count += len(ids) // 4
+                    of_ids.update(ids)
+                    own.update(decoder.feed(ids).encode())
+                own.update(decoder.finish().encode())
+                n.append(count)
+                ids_hash.append(of_ids.hexdigest())
                 text_hash.append(own.hexdigest())
                 same.append(own.digest() == hashlib.sha256(text.encode()).digest())
             return [b.column("doc_id"), n, ids_hash, text_hash, same]
