@@ -90,18 +90,23 @@ class Words:
 
     def _learn(self, words: list[str]) -> None:
         """Fill in the ids of words: a plain one is put together from its marks and its letters, which are a word too."""
-        plain, young = [], self.words.young
+        plain, cores, parts, young = [], [], set(), self.words.young
         for w in words:
-            if w.isascii() and w.isalpha() and w.islower():
+            if w.isalpha() and w.islower() and w.isascii():
+                cores.append(w)
                 continue
             m = PLAIN.fullmatch(w) if "<|" not in w else None
-            if m:
-                before, letters, after = m.groups()
-                plain.append((w, before, letters.lower() if letters.isascii() else letters, after))
-            else:
+            if not m:
                 young[w] = self._one(w)
-        cores = {w for w in words if w not in young}.difference([x[0] for x in plain if x[0] != x[2]])
-        new = self.words.missing(cores.union([x[2] for x in plain]))
+                continue
+            before, letters, after = m.groups()
+            core = letters.lower() if letters.isascii() else letters
+            if core == w:
+                cores.append(w)
+            else:
+                plain.append((w, before, core, after))
+                parts.add(core)
+        new = cores + self.words.missing(parts.difference(cores))
         young.update(zip(new, self._many(new)))
         marks = self.marks.missing({m for x in plain for m in (x[1], x[3])})
         self.marks.young.update((m, self._one(m)) for m in marks)
