@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+SLICE = 512
+
 
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -17,14 +19,16 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: str) -> DataFrame:
     """Apply a function to each Arrow batch; ``make`` runs once a task and returns it.
 
-    The function returns the output columns in the order of ``schema``.
+    The function returns the output columns in the order of ``schema``. It gets
+    at most SLICE rows at once, which bounds what a worker holds besides the batch.
     """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for b in batches:
-            yield batch(arrow, each(b))
+            for at in range(0, b.num_rows, SLICE):
+                yield batch(arrow, each(b.slice(at, SLICE)))
 
     return df.mapInArrow(run, schema)
 

@@ -16,20 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lorewell.llm import fuse
-from lorewell.llm.rows import only
+from lorewell.llm.rows import Rows
 from lorewell.scratch import materialize
 
 #: Digests in one filter shard, about; bounds the memory of one filter task.
 SHARD_KEYS = 50_000
 
 
-def digests(docs: DataFrame, batches: int = 1) -> DataFrame:
+def digests(table: Rows, batches: int = 1) -> DataFrame:
     """One narrow row per document: uid, doc_id, digest (32 bytes), batch.
 
     A null text counts as empty. ``uid`` tells repeated rows apart.
     """
-    return docs.select(
-        F.monotonically_increasing_id().alias("uid"),
+    return table.pick(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"),
         F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(batches)).cast("int").alias("batch"),
@@ -76,19 +75,15 @@ class Snapshot:
         return keyed.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_screen, "digest binary, maybe boolean")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The digests of ``pairs`` (digest, a, b: doc_ids) for which all fetched texts have equal bytes.
-
-    Only rows named in ``pairs`` move their texts.
-    """
-    wanted = pairs.select("digest", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("bytes"), F.unhex(F.sha2(text, 256)).alias("own"))
-    found = wanted.join(mine, wanted.doc_id.eqNullSafe(mine.doc_id) & (wanted.digest == mine.own))
-    return found.groupBy("digest").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo = hi").select("digest")
+def confirm(table: Rows, pairs: DataFrame) -> DataFrame:
+    """The digests of ``pairs`` (digest, a, b: uids) whose two texts have equal bytes; only those texts move."""
+    wanted = pairs.select("digest", F.explode(F.array("a", "b")).alias("uid"))
+    found = wanted.join(table.only(wanted, F.coalesce("text", F.lit("")).cast("binary").alias("bytes")), "uid")
+    same = found.groupBy("digest").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return same.where("lo = hi and n = 2").select("digest")
 
 
-def admit(docs: DataFrame, snapshot: Snapshot, batch: DataFrame) -> DataFrame:
+def admit(table: Rows, snapshot: Snapshot, batch: DataFrame) -> DataFrame:
     """Groups of snapshot and batch together: digest, keep, n.
 
     ``batch`` has digest, keep, n of the new rows, grouped separately. A digest
@@ -97,8 +92,8 @@ def admit(docs: DataFrame, snapshot: Snapshot, batch: DataFrame) -> DataFrame:
     """
     screened = materialize(batch.join(snapshot.screen(batch), "digest"), "screened")
     old = snapshot.buckets.select("digest", F.col("keep").alias("keep0"), F.col("n").alias("n0"))
-    hits = screened.where("maybe").join(old, "digest")
-    sure = confirm(docs, hits.select("digest", F.col("keep.doc_id").alias("a"), F.col("keep0.doc_id").alias("b")))
+    hits = materialize(screened.where("maybe").join(old, "digest"), "hits")
+    sure = confirm(table, hits.select("digest", F.col("keep.uid").alias("a"), F.col("keep0.uid").alias("b")))
     matched = materialize(hits.join(sure, "digest"), "matched").select("digest", F.col("keep").alias("keep1"), F.col("n").alias("n1"))
     grown = snapshot.buckets.join(matched, "digest", "left").select(
         "digest", F.greatest("keep", F.coalesce("keep1", "keep")).alias("keep"), (F.col("n") + F.coalesce("n1", F.lit(0))).alias("n")
@@ -107,20 +102,22 @@ def admit(docs: DataFrame, snapshot: Snapshot, batch: DataFrame) -> DataFrame:
     return grown.unionByName(fresh)
 
 
-def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
+def exact_dedup(docs: DataFrame | Rows, batches: int = 2) -> DataFrame:
     """Mark copies: uid, doc_id, keep_id, group_size, kept, digest; one row per input row.
 
     The rows arrive in ``batches`` by a hash of doc_id; each batch is held
     against the immutable snapshot of all before it. Texts are equal when
     identical byte by byte; null counts as empty. The row with the largest
     doc_id stays; among rows that repeat that doc_id one stays. A null doc_id
-    is smaller than any other. An empty table gives an empty result; other
-    columns of ``docs`` are not read.
+    is smaller than any other. Texts of any length are digested whole where
+    they lie. An empty table gives an empty result; other columns of ``docs``
+    are not read.
     """
-    rows = materialize(digests(docs, batches), "digests")
+    table = docs if isinstance(docs, Rows) else Rows(docs)
+    rows = materialize(digests(table, batches), "digests")
     groups = group_batch(rows.where("batch = 0"))
     for k in range(1, batches):
-        groups = admit(docs, Snapshot(groups), group_batch(rows.where(F.col("batch") == k)))
+        groups = admit(table, Snapshot(groups), group_batch(rows.where(F.col("batch") == k)))
     groups = materialize(groups, "groups")
     return rows.join(groups, "digest").select(
         "uid", "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
@@ -129,5 +126,10 @@ def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """The documents (a stored table) without their exact copies, with all columns of ``docs``."""
-    return only(docs, exact_dedup(docs, batches).where("kept"))
+    """The documents without their exact copies, with all columns of ``docs``.
+
+    Which row of a group stays, and what null, empty, repeated and long texts
+    and an empty table give, is as in ``exact_dedup``; no column can clash.
+    """
+    table = Rows(docs)
+    return table.keep(exact_dedup(table, batches).where("kept"))

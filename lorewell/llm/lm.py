@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorewell.llm.arrow import batch, map_batches, texts
+from lorewell.llm.rows import Rows
 from lorewell.scratch import materialize
 
 ORDER, END = 3, 0xFF
@@ -301,11 +302,10 @@ def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7) -> DataFrame
     model's log10 probability of the whole text in bytes. A null text is empty:
     an end alone. Repeated rows count as often as they occur. An empty table
     gives an empty result; without training texts all bytes are equally likely.
-    Other columns aren't read. ``docs`` is read several times and must be stored
-    data: its rows are told apart by their place.
+    Texts of any length are scored whole. Other columns aren't read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = Rows(docs).pick(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     rows = rows.withColumn("held_out", held_out(F.col("doc_id"), fold, folds))
     train = rows.where(~F.col("held_out"))
     held, rare_contexts = train_table(train)

@@ -4,7 +4,9 @@ Each document's set of word shingles gives PERMUTATIONS minima. Bands of ROWS
 minima are the candidate buckets; only the low BITS of each minimum are kept, a
 packed signature of 80 bytes. A candidate pair's similarity is estimated from
 the number of equal low bits, corrected for chance agreement, and pairs that
-may reach the threshold are confirmed on the full shingle sets.
+may reach the threshold are confirmed on the full shingle sets. An estimate may
+be SLACK standard errors too low, which loses a pair at the threshold with a
+probability of about 1e-9.
 
 With 32 bands of 5 rows a pair at similarity 0.85 shares no bucket with a
 probability below 1e-8.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from lorewell.llm import shingles
 from lorewell.llm.arrow import map_batches, texts
 from lorewell.llm.components import components
-from lorewell.llm.rows import only
+from lorewell.llm.rows import Rows
 from lorewell.scratch import materialize
 
 BANDS, ROWS, BITS = 32, 5, 4
@@ -97,8 +99,8 @@ def possible(threshold: float) -> float:
     return threshold - SLACK * (agree * (1 - agree) / PERMUTATIONS) ** 0.5 / (1 - chance)
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """uid, doc_id, text_key, n_shingles, fp1, fp2 (a fingerprint of the set), keys, sig; keys and sig are null for an empty set."""
+def signatures(table: Rows, k: int) -> DataFrame:
+    """uid, doc_id, n_shingles, fp1, fp2 (a fingerprint of the set), keys, sig; keys and sig are null for an empty set."""
 
     def make():
         def each(b: pa.RecordBatch) -> list:
@@ -117,27 +119,22 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 low = minima(s)
                 keys.append(band_keys(low).tolist())
                 sig.append(packed(low))
-            return [b.column("uid"), b.column("doc_id"), b.column("text_key"), n, fp1, fp2, keys, sig]
+            return [b.column("uid"), b.column("doc_id"), n, fp1, fp2, keys, sig]
 
         return each
 
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text",
-    )
-    return map_batches(rows, make, "uid long, doc_id long, text_key long, n_shingles long, fp1 long, fp2 long, keys array<long>, sig binary")
+    rows = table.pick(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    return map_batches(rows, make, "uid long, doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, sig binary")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """uid, set (packed hashes) of the nodes (uid, doc_id, text_key); only their texts move."""
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").alias("d")
-    same = (F.col("d.text_key") == F.col("n.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("n.doc_id"))
-    found = mine.join(nodes.alias("n"), same).select("n.uid", "d.text")
+def _sets(table: Rows, nodes: DataFrame, k: int) -> DataFrame:
+    """uid, set (packed hashes) of the nodes (uid), made where their texts lie."""
+    found = table.only(nodes, F.col("text"))
 
     def make():
         return lambda b: [b.column("uid"), [shingle_set(x, k).tobytes() for x in texts(b)]]
 
-    return materialize(map_batches(found, make, "uid long, set binary").dropDuplicates(["uid"]), "sets")
+    return materialize(map_batches(found, make, "uid long, set binary"), "sets")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -199,10 +196,32 @@ def _open(members: DataFrame) -> DataFrame:
     return materialize(members.join(keys.select("key", "n"), "key"), "open")
 
 
+def _hopeful(sig: np.ndarray, label: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of a tile are of different components and have signatures that allow the threshold."""
+    bits = np.stack([sig & np.uint8(15), sig >> np.uint8(4)], axis=2).reshape(len(sig), -1)
+    equal = np.zeros((len(sig), len(sig)), np.float32)
+    for value in range(1 << BITS):
+        same = (bits == value).astype(np.float32)
+        equal += same @ same.T
+    chance = 2.0**-BITS
+    return ((equal / PERMUTATIONS - chance) / (1 - chance) >= least) & (label[:, None] != label[None, :])
+
+
 def _merging(percent: int):
-    """Links between components within a tile of a bucket, as many as it takes to join them."""
+    """Links between components within a tile of a bucket, as many as it takes to join them.
+
+    The signatures decide which pairs are held against each other at all; the
+    members without any such partner drop out.
+    """
+    least, none = possible(percent / 100), pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
     def run(table: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        hope = _hopeful(sig, table["label"].to_numpy(), least)
+        some = np.flatnonzero(hope.any(axis=1))
+        if not len(some):
+            return none
+        table, hope = table.take(pa.array(some)), hope[np.ix_(some, some)]
         uid, label = table["uid"].to_numpy(), table["label"].to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in table["set"].chunks for x in c]
         size = np.array([len(s) for s in sets])
@@ -236,7 +255,7 @@ def _merging(percent: int):
                 both = x @ (x if j == i else matrix(j)).T
                 n = size[i : i + step, None] + size[None, j : j + step]
                 linked = 100 * both >= percent * (n - both)
-                linked &= label[i : i + step, None] != label[None, j : j + step]
+                linked &= hope[i : i + step, j : j + step]
                 for a, b in zip(*np.nonzero(linked)):
                     p, q = top(int(label[i + a])), top(int(label[j + b]))
                     if p != q:
@@ -248,7 +267,10 @@ def _merging(percent: int):
 
 
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components in a bucket's members (key, uid, label, n); large buckets in tiles, so a task stays bounded."""
+    """Links (a, b) between components in a bucket's members (key, uid, label, n); large buckets in tiles, so a task stays bounded.
+
+    ``sets``: uid, set, sig.
+    """
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("lo"), F.greatest(t, F.col("own")).alias("hi")))
@@ -256,15 +278,15 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.join(sets, "uid").groupBy("key", "lo", "hi").applyInArrow(_merging(percent), "a long, b long")
 
 
-def link(docs: DataFrame, percent: int = 85, k: int = 5) -> tuple[DataFrame, DataFrame]:
+def link(table: Rows, percent: int = 85, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """All documents (uid, doc_id, n_shingles, rep) and the confirmed links (a, b) between representatives of equal sets."""
     threshold = percent / 100
-    rows = materialize(signatures(docs, k), "signatures")
+    rows = materialize(signatures(table, k), "signatures")
     some = rows.where("n_shingles > 0")
     classes = materialize(some.groupBy("fp1", "fp2", "n_shingles").agg(F.min("uid").alias("rep")), "classes")
     every = some.select("uid", "doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"]).select("uid", "doc_id", "n_shingles", "rep")
     every = every.unionByName(rows.where("n_shingles = 0").select("uid", "doc_id", "n_shingles", F.col("uid").alias("rep")))
-    nodes = materialize(some.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "doc_id", "text_key", "sig", "keys"), "nodes")
+    nodes = materialize(some.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "sig", "keys"), "nodes")
 
     placed = nodes.select(F.explode("keys").alias("key"), "uid")
     buckets = materialize(placed.groupBy("key").agg(F.min("uid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"), "buckets")
@@ -272,21 +294,20 @@ def link(docs: DataFrame, percent: int = 85, k: int = 5) -> tuple[DataFrame, Dat
     stars = members.where("uid <> hub").select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct()
     stars = materialize(_estimated(stars, nodes, threshold), "stars")
     ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    known = nodes.select("uid", "doc_id", "text_key")
-    sets = _sets(docs, known.join(ids(stars), "uid", "left_semi"), k)
+    sets = _sets(table, ids(stars), k)
     links = materialize(_confirmed(stars, sets, percent), "links")
 
     # what stars can't settle: buckets whose members are in several components
     label = components(links)
     labelled = members.join(label.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", F.coalesce("root", "uid").alias("label"))
     rest = _open(materialize(labelled, "labelled"))
-    more = _sets(docs, known.join(rest.select("uid").distinct(), "uid", "left_semi"), k)
+    more = _sets(table, rest, k)
     rest = _open(_reachable(rest.select("key", "uid", "label"), more, percent))
-    links = links.unionByName(materialize(_across(rest, more, percent), "links"))
+    links = links.unionByName(materialize(_across(rest, more.join(nodes.select("uid", "sig"), "uid"), percent), "links"))
     return every, links
 
 
-def near_dedup(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
+def near_dedup(docs: DataFrame | Rows, percent: int = 85, k: int = 5) -> DataFrame:
     """uid, doc_id, n_shingles, component_id, kept; one row per input row.
 
     Documents are linked when 100 * intersection >= percent * union of their
@@ -298,7 +319,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     Texts of any length are shingled whole; an empty table gives an empty
     result, and other columns aren't read.
     """
-    every, links = link(docs, percent, k)
+    every, links = link(docs if isinstance(docs, Rows) else Rows(docs), percent, k)
     label = components(links)
     rooted = every.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("uid", "doc_id", "n_shingles", F.coalesce("root", "rep").alias("root"))
     rooted = materialize(rooted, "rooted")
@@ -310,5 +331,10 @@ def near_dedup(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
-    """The documents (a stored table) with one of each group of near copies, with all columns of ``docs``."""
-    return only(docs, near_dedup(docs, percent, k).where("kept"))
+    """The documents with one of each group of near copies, with all columns of ``docs``.
+
+    The row with the smallest doc_id stays; what null, empty, repeated and long
+    texts and an empty table give is as in ``near_dedup``; no column can clash.
+    """
+    table = Rows(docs)
+    return table.keep(near_dedup(table, percent, k).where("kept"))

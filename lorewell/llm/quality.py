@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorewell.llm.arrow import map_batches
+from lorewell.llm.rows import Rows
 from lorewell.scratch import materialize
 
 #: Fixed by the contract: what counts as white space and as a symbol.
@@ -94,16 +95,20 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def with_counts(docs: DataFrame, name: str) -> DataFrame:
-    """Add a struct column of COUNTS."""
+def counted(rows: DataFrame) -> DataFrame:
+    """The columns of ``rows`` but ``text``, and the COUNTS of that, as a written table."""
+    others = rows.drop("text").dtypes
+    names = [n for n, _ in others]
 
-    @F.arrow_udf("struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")
-    def counts(texts: pa.Array) -> pa.Array:
-        rows = [measure(x) for x in texts.to_pylist()]
-        columns = zip(*rows) if rows else [[]] * len(COUNTS)
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(COUNTS))
+    def make():
+        def each(b: pa.RecordBatch) -> list:
+            found = [measure(x.as_py()) for x in b.column("text")]
+            return [*[b.column(c) for c in names], *(zip(*found) if found else [[]] * len(COUNTS))]
+
+        return each
 
-    return docs.withColumn(name, counts(F.col("text")))
+    kept = [f"{n} {t}" for n, t in others]
+    return materialize(map_batches(rows, make, ", ".join([*kept, *[f"{c} long" for c in COUNTS]])), "counts")
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -149,13 +154,13 @@ def _stratum(docs: DataFrame) -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit("~none")) if "lang" in docs.columns else F.lit("~all")
 
 
-def fit(counted: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.1) -> DataFrame:
+def fit(found: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.1) -> DataFrame:
     """stratum and a column for each rule with its cutoff there (null: none), of the strata with any, from all labelled documents.
 
-    ``counted``: doc_id, stratum and the COUNTS; ``labels``: doc_id, quality (1: good).
+    ``found``: doc_id, stratum and the COUNTS; ``labels``: doc_id, quality (1: good).
     """
     label = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    seen = counted.where("n_words > 0").join(label, "doc_id").select("stratum", "quality", *[r.step().alias(r.name) for r in RULES])
+    seen = found.where("n_words > 0").join(label, "doc_id").select("stratum", "quality", *[r.step().alias(r.name) for r in RULES])
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.col(r.name).alias("step")) for i, r in enumerate(RULES)]))
     cells = seen.select("stratum", (F.col("quality") > 0).alias("good"), each.alias("x")).groupBy("stratum", "good", "x.rule", "x.step")
     cells = materialize(cells.agg(F.count(F.lit(1)).alias("n")), "cells")
@@ -179,7 +184,7 @@ def fit(counted: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float
     return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == i, F.col("cutoff"))).alias(r.name) for i, r in enumerate(RULES)])
 
 
-def with_rejected(counted: DataFrame, cutoffs: DataFrame) -> DataFrame:
+def with_rejected(found: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Add a column ``rejected``: whether the rules of a row's stratum reject it; needs columns ``stratum`` and the COUNTS.
 
     The cutoffs are broadcast, as a stratum may have most rows; there is one row for some 1,150 good labels at most.
@@ -189,7 +194,7 @@ def with_rejected(counted: DataFrame, cutoffs: DataFrame) -> DataFrame:
     for r in RULES:
         ratio, cut = F.expr(f"if(n_words > 0, {r.ratio}, null)"), F.col("_cut")[r.name]  # hoisted out of the conjunction, it meets rows without words
         broken = broken | F.coalesce(ratio >= cut if r.strict < r.lenient else ratio <= cut, F.lit(False))
-    return counted.join(F.broadcast(own), "stratum", "left").withColumn("rejected", broken)
+    return found.join(F.broadcast(own), "stratum", "left").withColumn("rejected", broken)
 
 
 def _base_failed() -> Column:
@@ -201,20 +206,23 @@ def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: flo
 
     A null or empty text has no words and fails the base rule. Repeated rows
     are judged alike; a null doc_id has no label. Without labels, or with too
-    few, only the base rule rejects. An empty table gives an empty result;
-    beyond lang (if there is one) no other column is read.
+    few, only the base rule rejects. Texts of any length are measured whole.
+    An empty table gives an empty result; beyond lang (if there is one) no other
+    column is read.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _stratum(docs).alias("stratum"))
-    counted = materialize(with_counts(narrow, "_c").select("doc_id", "stratum", "_c.*"), "counts")
+    found = counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _stratum(docs).alias("stratum")))
     kept = ~_base_failed() & ~F.col("rejected")
-    return with_rejected(counted, fit(counted, labels, alpha, delta)).select("doc_id", *COUNTS[:5], _base_failed().alias("base_failed"), kept.alias("kept"), "stratum")
+    return with_rejected(found, fit(found, labels, alpha, delta)).select("doc_id", *COUNTS[:5], _base_failed().alias("base_failed"), kept.alias("kept"), "stratum")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.1) -> DataFrame:
-    """The documents that all rules keep, with all columns of ``docs``."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _stratum(docs).alias("stratum"))
-    counted = materialize(with_counts(narrow, "_c").select("doc_id", "stratum", "_c.*"), "counts")
-    cutoffs = fit(counted, labels, alpha, delta)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    each = with_counts(docs.select(whole, "text", _stratum(docs).alias("stratum")), "_c").select("_row", "stratum", "_c.*")
-    return with_rejected(each, cutoffs).where(~_base_failed() & ~F.col("rejected")).select("_row.*")
+    """The documents that all rules keep, with all columns of ``docs``.
+
+    Each row is judged by itself, as in ``verdicts``: a null or empty text goes,
+    repeated rows stay or go together, and long texts are measured whole, once.
+    An empty table gives an empty result; no column can clash.
+    """
+    table = Rows(docs)
+    found = counted(table.pick(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), _stratum(docs).alias("stratum")))
+    good = with_rejected(found, fit(found, labels, alpha, delta)).where(~_base_failed() & ~F.col("rejected"))
+    return table.keep(good)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lorewell.llm import shingles
 from lorewell.llm.arrow import batch, map_batches
+from lorewell.llm.rows import Rows
 from lorewell.scratch import materialize
 
 WINDOW, GRAM = 20, 10
@@ -281,20 +282,21 @@ def _keep(text: str | None, spans: list[dict] | None) -> tuple[int, int, str]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` in struct ``row``, with n_words, n_removed and ``kept`` (the words left, joined by one space).
+    """All columns of ``docs`` but the text in struct ``row``, with n_words, n_removed and ``kept`` (the words left, joined by one space).
 
     A window is WINDOW consecutive words of one document; every word in a window
     whose words also start earlier (in a smaller doc_id, or earlier in the same
     document) is removed. Windows are judged on the input. A null text has no
     words. Rows that repeat a doc_id count in the order of the table, and a null
     doc_id comes after all others. Texts of any length are read whole; an empty
-    table gives an empty result. ``docs`` is read three times and must be stored
-    data (files): its rows are told apart by their place.
+    table gives an empty result. No column can clash. Only texts with words to
+    remove are moved, to where their spans are.
     """
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid"), "text")
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = covered(rows)
-    joined = whole.join(spans, "uid", "left")
+    table = Rows(docs)
+    spans = materialize(covered(table.pick(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))), "spans")
+    whole = table.marked(spans, table.whole("text").alias("row"), F.col("text"))
+    same = whole.where("not marked").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    joined = same.unionByName(whole.where("marked").join(spans, "uid"))
 
     def make():
         def each(b: pa.RecordBatch) -> list:
@@ -309,7 +311,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with the words left as their text, with all columns of ``docs``; n_chars, if there, is counted anew."""
+    """The documents with the words left as their text, with all columns of ``docs``; n_chars, if there, is counted anew.
+
+    Every row stays, even without words; what null, empty, repeated and long
+    texts and an empty table give is as in ``remove_repeats``.
+    """
     out = remove_repeats(docs)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewell.llm import bpe, chat, counts, exact, lm, minhash, packing, quality, sharding, substring
+from lorewell.llm.rows import Rows
 
 pytest.importorskip("public_tokenizers")
 import public_tokenizers as P  # noqa: E402
@@ -253,5 +254,5 @@ def test_chat_rotation(spark, tmp_path):
 
 
 def test_digests_are_of_the_text(docs):
-    got = {r["digest"].hex() for r in exact.digests(docs).withColumn("digest", F.col("digest")).collect()}
+    got = {r["digest"].hex() for r in exact.digests(Rows(docs)).withColumn("digest", F.col("digest")).collect()}
     assert got == {hashlib.sha256((t or "").encode()).hexdigest() for _, t in TEXTS}

@@ -3,12 +3,15 @@
 import collections
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
-from lorewell.llm import bpe, components, fuse, lm, minhash, packing, quality, sharding, shingles, substring
+from lorewell.llm import bpe, components, fuse, lm, minhash, packing, quality, rows as rows_of, sharding, shingles, substring
 
 pytest.importorskip("public_tokenizers")
 import public_tokenizers as P  # noqa: E402
@@ -39,7 +42,57 @@ def test_transducer_settles_tokens_before_the_end(model, seed):
     for k in range(0, len(data), 37):
         out += run.feed(data[k : k + 37])
         held = max(held, len(run.symbols))
-    assert out + run.finish() == whole and out and held < 4 * model.lookahead + 37
+    assert out + run.finish() == whole and out and held < 4 * model.reach + 37
+
+
+class Merges(bpe.ByteBpe):
+    """A model of single letters and a merge list."""
+
+    def __init__(self, letters, merges):
+        tokens = [*letters, *dict.fromkeys(u + v for u, v in merges)]
+        number = {t: i for i, t in enumerate(tokens)}
+        self.byte_id = {ord(c): number[c] for c in letters}
+        self.ranks = {number[u] << 32 | number[v]: r << 32 | number[u + v] for r, (u, v) in reversed([*enumerate(merges)])}
+        self.token_length = [len(t) for t in tokens]
+        self.lookahead = bpe.sufficient_lookahead(merges)
+        self.reach = max(self.lookahead, *self.token_length)
+
+
+def test_transducer_ends_with_tokens_longer_than_the_lookahead():
+    model = Merges("abcd", [("a", "b"), ("ab", "c"), ("abc", "d")])
+    run = bpe.Transducer(model)
+    assert model.lookahead == 1 and run.feed(b"abcdabcd" * 9) + run.finish() == [model.token_length.index(4)] * 18
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_transducer_equals_the_whole_merge_for_any_merge_list(data):
+    tokens, merges = list("abc"), []
+    for _ in range(data.draw(st.integers(1, 12))):
+        pair = data.draw(st.tuples(st.sampled_from(tokens), st.sampled_from(tokens)))
+        if pair not in merges and len(pair[0] + pair[1]) < 12:
+            merges.append(pair)
+            tokens.append(pair[0] + pair[1])
+    model = Merges("abc", merges)
+    text = data.draw(st.text("abc", max_size=400)).encode()
+    run, out = bpe.Transducer(model), []
+    for k in range(0, len(text), 29):
+        out += run.feed(text[k : k + 29])
+    assert out + run.finish() == model.merge([model.byte_id[b] for b in text])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bpe_in_stretches_equals_the_library(seed, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "STRETCH", 40)
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["ab", " ", "  ", "\n", "\n\n", "x" * 300, "é漢", "\x1c", "\u3000", " a", "<|endoftext|>", "=" * 90, " " * 200, "'ll"]) for _ in range(400))
+    path = P.path("byte_bpe_50k.json")
+    model = bpe.load(path)
+    parts = list(model.stream(text))
+    assert np.frombuffer(b"".join(parts), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert "".join(model.decode(b"".join(parts))) == text and len(parts) > 100
 
 
 def test_lookahead_of_small_merge_lists():
@@ -211,11 +264,69 @@ def test_cutoffs_keep_the_risk():
     assert quality.choose_step([0] * 42, [1] * 42, alpha, level) is None  # without good labels nothing is shown
 
 
-def test_a_changed_weight_moves_only_its_own(spark):
+def test_movement_is_confined_to_what_a_changed_weight_touches(spark):
     keys = spark.range(20_000).withColumnRenamed("id", "k")
     tree = sharding.layout(16)
     heavier = [sharding.Shard(x.region, x.rack, x.shard, 2.0 if x.shard == 5 else 1.0) for x in tree]
-    rows = sharding.assign(sharding.assign(keys, keys["k"], tree, "a"), keys["k"], heavier, "b").select("a.shard", "b.shard", "b.rack", "b.region").toPandas()
-    rows.columns = ["a", "b", "rack", "region"]
-    assert set(rows[rows.a != rows.b].b) == {5} and (rows.b // 4 == rows["rack"]).all() and (rows.b // 8 == rows.region).all()
-    assert abs((rows.b == 5).mean() - 2 / 17) < 0.01 and rows.a.value_counts().std() < 60
+    rows = sharding.assign(sharding.assign(keys, keys["k"], tree, "a"), keys["k"], heavier, "b").select("a.*", *[F.col("b")[c].alias(f"{c}2") for c in ("region", "rack", "shard")]).toPandas()
+    assert (rows.shard // 4 == rows["rack"]).all() and (rows.shard // 8 == rows.region).all()
+    assert (rows.shard2 // 4 == rows.rack2).all() and (rows.shard2 // 8 == rows.region2).all()
+    assert set(rows[rows.region != rows.region2].region2) == {0}
+    stay = rows[rows.region == rows.region2]
+    assert set(stay[stay["rack"] != stay.rack2].rack2) == {1}
+    stay = stay[stay["rack"] == stay.rack2]
+    assert set(stay[stay.shard != stay.shard2].shard2) == {5} and (rows.shard != rows.shard2).mean() < 0.15
+    assert abs((rows.shard2 == 5).mean() - 2 / 17) < 0.01 and rows.shard.value_counts().std() < 60
+
+
+def placed_by_hand(doc_id, tree):
+    """The placement spelled out: 64-bit xxHash of the key, then of level and node, seeds chained; -ln(u) / weight; smallest first."""
+    own = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+
+    def draw(level, node, weight):
+        h = own
+        for x in (level, node):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", x), h)
+        return -math.log(((h >> 12) + 0.5) / 2**52) / weight
+
+    level, left = 0, tree
+    for name in ("region", "rack", "shard"):
+        weights = collections.Counter()
+        for x in left:
+            weights[getattr(x, name)] += x.weight
+        taken = min(weights, key=lambda node: draw(level, node, weights[node]))
+        left, level = [x for x in left if getattr(x, name) == taken], level + 1
+    return left[0].shard
+
+
+def test_placement_equals_brute_force(spark):
+    ids = [None, *range(-50, 3000), 2**62]
+    docs = spark.createDataFrame([(i, "x" * (n % 7) if n % 5 else None) for n, i in enumerate(ids)], "doc_id long, text string")
+    rows = sharding.shard_documents(docs, sharding.layout(16), sharding.layout(17)).collect()
+    got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in rows}
+    assert got == {i: (placed_by_hand(i, sharding.layout(16)), placed_by_hand(i, sharding.layout(17))) for i in ids}
+    assert {a for a, b in got.values() if a != b} == set(range(16)) and {b for a, b in got.values() if a != b} == {16}
+    for k in range(16):
+        assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows)))
+
+
+@pytest.mark.parametrize("blocks", [8192, 0])
+def test_rows_keep_their_identity_however_a_scan_is_split(spark, tmp_path, monkeypatch, blocks):
+    monkeypatch.setattr(rows_of, "BLOCKS", blocks)
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(i % 900, f"text {i % 700}" if i % 50 else None, 1) for i in range(1000)], "doc_id long, text string, uid int").repartition(6).write.parquet(path)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        seen, kept = [], []
+        for n in ("8", "4", "1"):
+            spark.conf.set("spark.sql.files.minPartitionNum", n)
+            table = rows_of.Rows(spark.read.parquet(path))
+            picked = table.pick(F.col("doc_id"), F.col("text"))
+            seen.append(sorted(map(tuple, picked.collect()), key=str))
+            spark.conf.set("spark.sql.files.minPartitionNum", str(9 - int(n)))
+            kept.append(sorted(map(tuple, table.keep(picked.where("doc_id % 3 = 1")).collect()), key=str))
+        assert seen[0] == seen[1] == seen[2] and len({r[0] for r in seen[0]}) == 1000
+        assert kept[0] == kept[1] == kept[2] and len(kept[0]) == sum(i % 900 % 3 == 1 for i in range(1000)) and {r[0] % 3 for r in kept[0]} == {1}
+    finally:
+        for k in ("minPartitionNum", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{k}")
