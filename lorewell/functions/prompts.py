@@ -31,6 +31,34 @@ def to_template(text: str, rename: dict[str, str] | None = None, static: dict[st
 
     return re.sub(r"\{(\w+)\}", field, text)
 
+_ENTITIES = """Name the things that the passage is about: people, places, organisations, works, events, dates, numbers with what they count.
+Copy each as it is written. Answer with JSON alone: {"named_entities": ["...", "..."]}"""
+_TRIPLES = """State what the passage says as triples of subject, relation and object.
+Let subject or object be one of the named entities wherever you can, write names out in place of pronouns, and state each thing once.
+Answer with JSON alone: {"triples": [["subject", "relation", "object"], ...]}"""
+_FILTER = """You get a question and facts in JSON. Keep the facts, four at most, that help to answer it, the most useful first, exactly as they are written.
+If none helps, keep none. Answer in this form:
+
+[[ ## fact_after_filter ## ]]
+{"fact": [["subject", "relation", "object"], ...]}
+
+[[ ## completed ## ]]"""
+_ANSWER = """Answer the question from the passages. First think in a few sentences after "Thought:"; then write "Answer: " and the answer alone, as short as it can be."""
+_THOUGHT = """You gather passages step by step. From the passages and your thoughts so far, write the next thought: one sentence that says what you learned or what is missing.
+Once the answer is clear, write "So the answer is: " and the answer."""
+
+
+def default_templates() -> dict[str, list[dict[str, str]]]:
+    """The engine's own prompts, each a system text and a user turn with fields."""
+    turn = lambda system, user: [{"role": "system", "content": system}, {"role": "user", "content": user}]
+    return {
+        "entities": turn(_ENTITIES, "${passage}"),
+        "triples": turn(_TRIPLES, "Passage:\n${passage}\n\nNamed entities:\n${named_entity_json}"),
+        "fact_filter": turn(_FILTER, "[[ ## question ## ]]\n${question}\n\n[[ ## fact_before_filter ## ]]\n${facts}"),
+        "answer": turn(_ANSWER, "${prompt_user}"),
+        "next_thought": turn(_THOUGHT, "${prompt_user}"),
+    }
+
 
 class Prompts:
     """Templates by name: a text, or a list of chat messages (role, content)."""
@@ -38,6 +66,14 @@ class Prompts:
     def __init__(self, templates: dict[str, str | list[dict[str, str]]] | None = None):
         self.templates = dict(templates or {})
 
+    @classmethod
+    def default(cls) -> Prompts:
+        return cls(default_templates())
+
+    def replaced(self, others: Prompts) -> Prompts:
+        """These templates, with those of ``others`` in place of ones of the same name."""
+        return Prompts(self.templates | others.templates)
+
     @classmethod
     def from_directory(cls, path: str) -> Prompts:
         """Every Python file of the directory that defines ``prompt_template``."""

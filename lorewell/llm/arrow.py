@@ -9,13 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-SLICE = 512
+#: Rows given to a function at once, and bytes in a batch between Spark and a worker, for sessions that don't say.
+SLICE, BATCH_BYTES = 512, "4m"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in small batches: rows here hold whole texts, and a batch is held several times over, on either side."""
+    conf = df.sparkSession.conf
+    if BATCH not in conf.getAll:
+        conf.set(BATCH, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: str) -> DataFrame:
     """Apply a function to each Arrow batch; ``make`` runs once a task and returns it.
 
@@ -30,7 +40,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
             for at in range(0, b.num_rows, SLICE):
                 yield batch(arrow, each(b.slice(at, SLICE)))
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def texts(b: pa.RecordBatch, name: str = "text") -> list[str]:

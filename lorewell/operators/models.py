@@ -10,6 +10,7 @@ import hashlib
 import json
 import re
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from lorewell.functions.prompts import instruction
+from lorewell.functions.vectors import mean_pooling
 
 
 class Embedder(Protocol):
@@ -108,9 +110,27 @@ class FirstFact:
         return f"Answer: {re.split(r'[.\n]', passages[0])[0] if passages else ''}"
 
 
+def post(url: str, body: dict[str, Any], headers: dict[str, str], timeout: float, retries: int, backoff: float, exponential: bool = False) -> dict[str, Any]:
+    """POST JSON and read JSON; network errors and busy servers are tried again."""
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"} | headers)
+    for attempt in range(retries + 1):
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as r:
+                return json.load(r)
+        except OSError as e:
+            refused = isinstance(e, urllib.error.HTTPError) and e.code < 500 and e.code not in (408, 429)
+            if refused or attempt == retries:
+                raise
+            time.sleep(backoff * (2**attempt if exponential else 1))
+    raise AssertionError("unreachable")
+
+
 @dataclass(frozen=True)
 class HttpChat:
-    """A chat model behind an OpenAI-compatible endpoint; one connection a call, with retries."""
+    """A chat model behind an OpenAI-compatible endpoint; ``parallel`` calls at once in a task, with retries.
+
+    ``query`` goes behind the path, as gateways with versioned deployments need.
+    """
 
     model: str
     url: str
@@ -122,25 +142,42 @@ class HttpChat:
     max_tokens: int = 2048
     temperature: float = 0.0
     seed: int | None = None
+    parallel: int = 8
+    guided: bool = False
+    query: str = ""
 
-    def infer(self, messages: list[dict[str, str]], **options: Any) -> tuple[str, dict[str, Any]]:
+    def infer(self, messages: list[dict[str, str]], schema: dict[str, Any] | None = None, **options: Any) -> tuple[str, dict[str, Any]]:
         limit = "max_completion_tokens" if self.model.startswith("gpt") else "max_tokens"
         body = {"model": self.model, "messages": messages, "temperature": self.temperature, "seed": self.seed, limit: self.max_tokens} | options
-        request = urllib.request.Request(f"{self.url}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json"} | self.headers)
-        for attempt in range(self.retries + 1):
-            try:
-                with urllib.request.urlopen(request, timeout=self.timeout) as r:
-                    reply = json.load(r)
-                break
-            except OSError:
-                if attempt == self.retries:
-                    raise
-                time.sleep(self.backoff * (2**attempt if self.exponential else 1))
+        if schema:
+            body["response_format"] = {"type": "json_schema", "json_schema": {"name": "response", "schema": schema}}
+        reply = post(f"{self.url}/chat/completions{self.query}", body, self.headers, self.timeout, self.retries, self.backoff, self.exponential)
         choice, usage = reply["choices"][0], reply.get("usage", {})
         meta = {k: usage.get(k) for k in ("prompt_tokens", "completion_tokens")} | {"finish_reason": choice.get("finish_reason")}
         return choice["message"]["content"], meta
 
 
+@dataclass
+class BedrockChat:
+    """A chat model of Amazon Bedrock by its Converse call; needs the library boto3."""
+
+    model: str
+    region: str | None = None
+    max_tokens: int = 2048
+    temperature: float = 0.0
+    parallel: int = 4
+
+    def infer(self, messages: list[dict[str, str]], **options: Any) -> tuple[str, dict[str, Any]]:
+        if not hasattr(self, "_client"):
+            self._client = _local("boto3", lambda lib: lib.client("bedrock-runtime", region_name=self.region))()
+        turns = [{"role": m["role"], "content": [{"text": m["content"]}]} for m in messages if m["role"] != "system"]
+        told = [{"text": m["content"]} for m in messages if m["role"] == "system"]
+        reply = self._client.converse(modelId=self.model, messages=turns, system=told, inferenceConfig={"maxTokens": self.max_tokens, "temperature": self.temperature})
+        usage, stop = reply.get("usage", {}), reply.get("stopReason")
+        meta = {"prompt_tokens": usage.get("inputTokens"), "completion_tokens": usage.get("outputTokens"), "finish_reason": "length" if stop == "max_tokens" else "stop"}
+        return "".join(part.get("text", "") for part in reply["output"]["message"]["content"]), meta
+
+
 @dataclass(frozen=True)
 class HttpEmbedder:
     """An embedding model behind an OpenAI-compatible endpoint."""
@@ -151,18 +188,42 @@ class HttpEmbedder:
     batch: int = 16
     normalise: bool = True
     send_instruction: str = ""  # a format with {instruction}, put before each text
+    query: str = ""
     timeout: float = 300.0
+    retries: int = 2
+    backoff: float = 1.0
 
     def encode(self, texts: Sequence[str], instruction: str = "") -> np.ndarray:
         prefix = self.send_instruction.format(instruction=instruction) if instruction and self.send_instruction else ""
         clean, rows = [prefix + (t.replace("\n", " ") or " ") for t in texts], []
         for k in range(0, len(clean), self.batch):
-            body = json.dumps({"model": self.model, "input": clean[k : k + self.batch]}).encode()
-            request = urllib.request.Request(f"{self.url}/embeddings", body, {"Content-Type": "application/json"} | self.headers)
-            with urllib.request.urlopen(request, timeout=self.timeout) as r:
-                rows += [x["embedding"] for x in json.load(r)["data"]]
-        out = np.array(rows, np.float64)
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12) if self.normalise else out
+            reply = post(f"{self.url}/embeddings{self.query}", {"model": self.model, "input": clean[k : k + self.batch]}, self.headers, self.timeout, self.retries, self.backoff)
+            rows += [x["embedding"] for x in reply["data"]]
+        return _units(np.array(rows, np.float64)) if self.normalise else np.array(rows, np.float64)
+
+
+@dataclass(frozen=True)
+class CohereEmbedder:
+    """An embedding model that is told whether a text is a query or a document; an instruction means a query."""
+
+    model: str
+    url: str = "https://api.cohere.com/v1"
+    headers: dict[str, str] = field(default_factory=dict)
+    batch: int = 96
+    timeout: float = 300.0
+    retries: int = 2
+    backoff: float = 1.0
+
+    def encode(self, texts: Sequence[str], instruction: str = "") -> np.ndarray:
+        rows = []
+        for k in range(0, len(texts), self.batch):
+            body = {"model": self.model, "texts": [t or " " for t in texts[k : k + self.batch]], "input_type": "search_query" if instruction else "search_document"}
+            rows += post(f"{self.url}/embed", body, self.headers, self.timeout, self.retries, self.backoff)["embeddings"]
+        return np.array(rows, np.float64)
+
+
+def _units(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
 def _local(module: str, build):
@@ -190,31 +251,106 @@ class LocalEmbedder:
         if not hasattr(self, "_model"):
             self._model = _local(self.library, lambda lib: lib.SentenceTransformer(self.model))()
         out = np.asarray(self._model.encode(list(texts)), np.float64)
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12) if self.normalise else out
+        return _units(out) if self.normalise else out
+
+
+@dataclass
+class PooledEmbedder:
+    """An encoder without a pooling of its own: the mean of the vectors of a text's tokens; needs transformers and torch."""
+
+    model: str
+    normalise: bool = True
+    batch: int = 16
+
+    def encode(self, texts: Sequence[str], instruction: str = "") -> np.ndarray:
+        if not hasattr(self, "_model"):
+            self._tokens = _local("transformers", lambda lib: lib.AutoTokenizer.from_pretrained(self.model))()
+            self._model = _local("transformers", lambda lib: lib.AutoModel.from_pretrained(self.model))()
+        rows = []
+        for k in range(0, len(texts), self.batch):
+            given = self._tokens(list(texts[k : k + self.batch]), padding=True, truncation=True, return_tensors="pt")
+            rows.append(mean_pooling(self._model(**given).last_hidden_state.detach().numpy(), given["attention_mask"].numpy()))
+        out = np.concatenate(rows) if rows else np.zeros((0, 0))
+        return _units(out) if self.normalise and len(out) else out
 
 
 @dataclass
 class LocalChat:
-    """A text-generation model of an optional local library."""
+    """A text-generation model of an optional local library; all prompts of a batch at once."""
 
     model: str
     library: str = "transformers"
     max_tokens: int = 200
+    batch: int = 8
 
     def infer(self, messages: list[dict[str, str]], **options: Any) -> tuple[str, dict[str, Any]]:
+        return self.infer_batch([messages], **options)[0]
+
+    def infer_batch(self, prompts: list[list[dict[str, str]]], **options: Any) -> list[tuple[str, dict[str, Any]]]:
         if not hasattr(self, "_pipe"):
             self._pipe = _local(self.library, lambda lib: lib.pipeline("text-generation", model=self.model))()
-        out = self._pipe(messages, max_new_tokens=options.get("max_tokens", self.max_tokens))
-        return out[0]["generated_text"][-1]["content"], {"finish_reason": "stop"}
+        out = self._pipe(prompts, max_new_tokens=options.get("max_tokens", self.max_tokens), batch_size=self.batch)
+        return [(x[0]["generated_text"][-1]["content"], {"finish_reason": "stop"}) for x in out]
+
+
+@dataclass
+class OfflineBatchChat:
+    """A model that runs in the task itself, on whole batches, and can be held to a JSON schema; needs the library vllm."""
+
+    model: str
+    max_tokens: int = 2048
+    temperature: float = 0.0
+    seed: int | None = None
+    guided: bool = True
+    settings: dict[str, Any] = field(default_factory=dict)
+
+    def infer(self, messages: list[dict[str, str]], **options: Any) -> tuple[str, dict[str, Any]]:
+        return self.infer_batch([messages], **options)[0]
+
+    def infer_batch(self, prompts: list[list[dict[str, str]]], schema: dict[str, Any] | None = None, **options: Any) -> list[tuple[str, dict[str, Any]]]:
+        if not hasattr(self, "_engine"):
+            self._library = _local("vllm", lambda lib: lib)()
+            self._engine = self._library.LLM(model=self.model, **self.settings)
+        told: dict[str, Any] = {"max_tokens": self.max_tokens, "temperature": self.temperature, "seed": self.seed}
+        if schema:
+            from vllm.sampling_params import GuidedDecodingParams
+
+            told["guided_decoding"] = GuidedDecodingParams(json=schema)
+        found = self._engine.chat(prompts, self._library.SamplingParams(**told))
+        return [
+            (x.outputs[0].text, {"prompt_tokens": len(x.prompt_token_ids), "completion_tokens": len(x.outputs[0].token_ids), "finish_reason": x.outputs[0].finish_reason})
+            for x in found
+        ]
 
 
 def chat_model(name: str, url: str = "https://api.openai.com/v1", **settings: Any) -> ChatModel:
-    """A chat model by the form of its name: ``bedrock...``, ``Transformers/...`` or else an OpenAI-compatible endpoint."""
+    """A chat model by the form of its name.
+
+    ``bedrock/...``, ``Transformers/...``, ``offline/...`` (whole batches in the
+    task), ``azure/deployment`` (``url``: the resource; key and version in
+    ``api_key`` and ``api_version``), or else an OpenAI-compatible endpoint, with
+    the key of ``api_key`` if there is one.
+    """
     if name.startswith("Transformers/"):
         return LocalChat(name.removeprefix("Transformers/"), **settings)
+    if name.startswith("offline/"):
+        return OfflineBatchChat(name.removeprefix("offline/"), **settings)
     if name.startswith("bedrock"):
-        return HttpChat(name, url, retries=5, backoff=0.5, exponential=True, **settings)
-    return HttpChat(name, url, **settings)
+        return BedrockChat(name.removeprefix("bedrock/"), **settings)
+    return HttpChat(*_endpoint(name, url, settings), **settings)
+
+
+def _endpoint(name: str, url: str, settings: dict[str, Any]) -> tuple[str, str]:
+    """Name and URL of a model, with what its gateway wants put into ``settings``."""
+    key, version = settings.pop("api_key", None), settings.pop("api_version", "2024-10-21")
+    if name.startswith("azure/"):
+        name = name.removeprefix("azure/")
+        settings["headers"] = {"api-key": key or ""} | settings.get("headers", {})
+        settings["query"] = f"?api-version={version}"
+        return name, f"{url.rstrip('/')}/openai/deployments/{name}"
+    if key:
+        settings["headers"] = {"Authorization": f"Bearer {key}"} | settings.get("headers", {})
+    return name, url
 
 
 def embedder(name: str, url: str = "https://api.openai.com/v1", **settings: Any) -> Embedder:
@@ -226,11 +362,12 @@ def embedder(name: str, url: str = "https://api.openai.com/v1", **settings: Any)
     if "GritLM" in name:
         return HttpEmbedder(name, url, send_instruction="<|user|>\n{instruction}\n<|embed|>\n", **settings)
     if "contriever" in name:
-        return LocalEmbedder(name, **settings)
+        return PooledEmbedder(name, **settings)
     if "text-embedding" in name:
-        return HttpEmbedder(name, url, **settings)
+        return HttpEmbedder(*_endpoint(name, url, settings), **settings)
     if "cohere" in name:
-        return HttpEmbedder(name, url, normalise=False, **settings)
+        key = settings.pop("api_key", None)
+        return CohereEmbedder(name.removeprefix("cohere/"), **({"headers": {"Authorization": f"Bearer {key}"}} if key else {}), **settings)
     if name.startswith("Transformers/"):
         return LocalEmbedder(name.removeprefix("Transformers/"), normalise=False, **settings)
     if name.startswith("VLLM/"):
@@ -238,59 +375,6 @@ def embedder(name: str, url: str = "https://api.openai.com/v1", **settings: Any)
     raise ValueError(f"unknown embedding model {name}")
 
 
-@dataclass(frozen=True)
-class PromptedExtractor:
-    """Entities, then triples given the entities, by two prompts to a chat model.
-
-    A cut-off response is repaired; a response that can't be read gives nothing.
-    """
-
-    model: ChatModel
-    entity_prompt: list[dict[str, str]]
-    triple_prompt: list[dict[str, str]]
-
-    def extract(self, passage: str) -> tuple[list[str], list[list[str]]]:
-        from string import Template
-
-        from lorewell.functions.responses import repair
-
-        def ask(prompt: list[dict[str, str]], key: str, **values: str) -> list:
-            messages = [{**m, "content": Template(m["content"]).safe_substitute(values)} for m in prompt]
-            try:
-                text, meta = self.model.infer(messages)
-                text = repair(text) if meta.get("finish_reason") == "length" else text
-                return json.loads(text[text.index("{") : text.rindex("}") + 1]).get(key, [])
-            except (OSError, ValueError, KeyError, AttributeError):
-                return []
-
-        entities = list(dict.fromkeys(str(x) for x in ask(self.entity_prompt, "named_entities", passage=passage)))
-        named = json.dumps({"named_entities": entities})
-        triples = ask(self.triple_prompt, "triples", passage=passage, named_entity_json=named)
-        return entities, [[str(x) for x in t] for t in triples if isinstance(t, list)]
-
-
-@dataclass(frozen=True)
-class PromptedFilter:
-    """A fact filter by a chat model; each generated fact stands for the candidate closest to it."""
-
-    model: ChatModel
-    prompt: list[dict[str, str]]
-    limit: int = 4
-    cutoff: float = 0.0
-
-    def keep(self, question: str, facts: list[list[str]]) -> list[list[str]]:
-        from string import Template
-
-        values = {"question": question, "facts": json.dumps({"fact": facts})}
-        text, _ = self.model.infer([{**m, "content": Template(m["content"]).safe_substitute(values)} for m in self.prompt])
-        section = re.search(r"\[\[ ## fact_after_filter ## \]\]\s*(.*?)\s*(?:\[\[ ## |$)", text, re.S)
-        try:
-            made = json.loads(section[1])["fact"] if section else []
-        except (ValueError, KeyError, TypeError):
-            made = []
-        return closest_facts(made, facts, self.cutoff)[: self.limit]
-
-
 def closest_facts(made: list[list[str]], candidates: list[list[str]], cutoff: float = 0.0) -> list[list[str]]:
     """For each made fact the candidate whose text is closest; each candidate once, ties to the first."""
     from difflib import SequenceMatcher
@@ -304,20 +388,6 @@ def closest_facts(made: list[list[str]], candidates: list[list[str]], cutoff: fl
     return out
 
 
-@dataclass(frozen=True)
-class PromptedReader:
-    """A reader by a chat model: system text and one demonstration in ``prompt``, the last message a template."""
-
-    model: ChatModel
-    prompt: list[dict[str, str]]
-
-    def answer(self, question: str, passages: list[str], facts: list[list[str]]) -> str:
-        from string import Template
-
-        user = "".join(f"Wikipedia Title: {p}\n\n" for p in passages) + f"Question: {question}\nThought: "
-        return self.model.infer([{**m, "content": Template(m["content"]).safe_substitute(prompt_user=user)} for m in self.prompt])[0]
-
-
 def embed(text: Column, model: Embedder, linking: str | None = None) -> Column:
     """The embedding of a text column as ``array<float>``; a null text counts as empty."""
     told = instruction(linking) if linking else ""

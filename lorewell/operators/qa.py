@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 from lorewell import schemas
 from lorewell.config import EngineConfig
 from lorewell.functions.text import parse_answer, qa_prompt
+from lorewell.operators.calls import ask, chat
 from lorewell.operators.models import ChatModel, Reader
+from lorewell.sources.files import Tables
 
 DEFAULT = EngineConfig()
 
@@ -45,6 +47,15 @@ def answered(solved: DataFrame, reader: Reader, facts: DataFrame | None = None,
     return rows.withColumn("answer", parse_answer(F.col("response")))
 
 
+def answered_by_prompt(
+    solved: DataFrame, model: ChatModel, prompt: list[dict[str, str]], tables: Tables | None = None, config: EngineConfig = DEFAULT
+) -> DataFrame:
+    """Solutions with prompt, response, answer and what ``ask`` tells of the calls; a failed call has no answer."""
+    rows = solved.withColumn("prompt", qa_prompt(F.col("docs"), F.col("question"), config.qa_topk))
+    answers = ask(rows.withColumn("messages", chat(prompt, prompt_user=F.col("prompt"))), model, tables)
+    return answers.withColumn("answer", parse_answer(F.col("response")))
+
+
 def next_thought(model: ChatModel, prompt: list[dict[str, str]], question: str, passages: list[str], thoughts: list[str]) -> str:
     """One step of interleaved retrieval and reasoning; a thought that holds "So the answer is:" is the last."""
     user = "".join(f"Wikipedia Title: {p}\n\n" for p in passages) + f"Question: {question}\nThought: " + " ".join(thoughts)

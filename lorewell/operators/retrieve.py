@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lorewell import schemas
 from lorewell.config import EngineConfig
+from lorewell.functions.responses import parse_filter, repaired
 from lorewell.functions.text import text_processing, tokens
 from lorewell.functions.vectors import doubles
 from lorewell.operators import knn, ppr
-from lorewell.operators.models import Embedder, FactFilter, embed
+from lorewell.operators.calls import ask, chat
+from lorewell.operators.models import ChatModel, Embedder, FactFilter, closest_facts, embed
+from lorewell.sources.files import Tables
 
 DEFAULT = EngineConfig()
 
@@ -36,7 +39,7 @@ def filter_by_words(candidates: DataFrame, queries: DataFrame, config: EngineCon
 
 
 def filter_by_model(candidates: DataFrame, queries: DataFrame, model: FactFilter, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Keep what a model keeps of each question's candidates; a model that fails keeps none."""
+    """Keep what a filter object keeps of each question's candidates; one that fails keeps none."""
 
     @F.arrow_udf(schemas.TRIPLES)
     def kept(questions: pa.Array, facts: pa.Array) -> pa.Array:
@@ -48,12 +51,43 @@ def filter_by_model(candidates: DataFrame, queries: DataFrame, model: FactFilter
                 out.append([])
         return pa.array(out, pa.list_(pa.list_(pa.string())))
 
+    lists = _candidate_lists(candidates, queries)
+    return _chosen(candidates, lists.select("query_id", kept(F.col("question"), F.col("facts")).alias("k")))
+
+
+def _candidate_lists(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, question, facts: each question's candidates in order, linking_topk at most."""
     lists = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.array("s", "p", "o").alias("t")))).alias("c"))
-    chosen = lists.join(queries.select("query_id", "question"), "query_id").select("query_id", kept(F.col("question"), F.col("c.t")).alias("k"))
-    rows = chosen.select("query_id", F.explode(F.array_distinct("k")).alias("t")).select("query_id", *[F.col("t")[i].alias(c) for i, c in enumerate("spo")])
+    return lists.join(queries.select("query_id", "question"), "query_id").select("query_id", "question", F.col("c.t").alias("facts"))
+
+
+def _chosen(candidates: DataFrame, kept: DataFrame) -> DataFrame:
+    """The candidates that are in the lists of ``kept`` (query_id, k)."""
+    rows = kept.select("query_id", F.explode(F.array_distinct("k")).alias("t")).select("query_id", *[F.col("t")[i].alias(c) for i, c in enumerate("spo")])
     return candidates.join(rows, ["query_id", "s", "p", "o"], "left_semi")
 
 
+def filter_by_prompt(
+    candidates: DataFrame, queries: DataFrame, model: ChatModel, prompt: list[dict[str, str]], tables: Tables | None = None, config: EngineConfig = DEFAULT
+) -> tuple[DataFrame, DataFrame]:
+    """Keep what a chat model keeps of each question's candidates, and the calls made.
+
+    Each fact in the response stands for the candidate closest to it; a question
+    whose call fails, or whose response can't be read, keeps none.
+    """
+
+    @F.arrow_udf(schemas.TRIPLES)
+    def closest(made: pa.Array, facts: pa.Array) -> pa.Array:
+        rows = [closest_facts(m or [], f)[: config.filter_topk] for m, f in zip(made.to_pylist(), facts.to_pylist())]
+        return pa.array(rows, pa.list_(pa.list_(pa.string())))
+
+    lists = _candidate_lists(candidates, queries)
+    shown = F.to_json(F.struct(F.col("facts").alias("fact")))
+    answers = ask(lists.withColumn("messages", chat(prompt, question=F.col("question"), facts=shown)), model, tables)
+    made = parse_filter(repaired(F.col("response"), F.col("finish_reason")))
+    return _chosen(candidates, answers.select("query_id", closest(made, F.col("facts")).alias("k"))), answers
+
+
 def phrase_weights(kept: DataFrame, degree: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """query_id, phrase, weight: mean of fact score over the number of chunks with the phrase; the linking_topk best.
 

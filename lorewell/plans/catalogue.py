@@ -453,7 +453,8 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = knn.top_normalised(queries, keys, max(evaluate.RECALL_AT))
     docs = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("key_id").cast("string").alias("d")))).alias("d"))
     by_label = labels.groupBy("label").agg(F.collect_list(F.col("vec_id").cast("string")).alias("gold"))
-    gold = labels.join(by_label, "label").select(F.col("vec_id").alias("query_id"), "gold")
+    asked = labels.join(queries.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
+    gold = asked.join(by_label, "label").select(F.col("vec_id").alias("query_id"), "gold")
     return evaluate.recall_at_k(docs.select("query_id", F.col("d.d").alias("docs")).join(gold, "query_id"))[0]
 
 
@@ -559,8 +560,11 @@ def gold_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from lorewell.plans import engine_queries  # noqa: F401  adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -5,12 +5,18 @@ from __future__ import annotations
 STORE = "hash_id string, content string, embedding array<float>"
 CORPUS = "title string, text string, idx int"
 TRIPLES = "array<array<string>>"
-OPENIE = "idx string, passage string, extracted_entities array<string>, extracted_triples array<array<string>>"
+OPENIE = "idx string, passage string, extracted_entities array<string>, extracted_triples array<array<string>>, error string"
 FACT_EDGES = "src string, dst string, weight double"
 NODES = "node_id string, kind string, content string"
 EDGES = "src string, dst string, weight double"
 RESULT = "query_id long, question string, rank int, hash_id string, content string, score double, method string"
 LLM_CACHE = "key string, message string, metadata string"
+#: JSON schemas for models that can be held to one.
+NER_JSON = {"type": "object", "properties": {"named_entities": {"type": "array", "items": {"type": "string"}}}, "required": ["named_entities"]}
+TRIPLE_JSON = {
+    "type": "object", "required": ["triples"],
+    "properties": {"triples": {"type": "array", "items": {"type": "array", "items": {"type": "string"}, "minItems": 3, "maxItems": 3}}},
+}
 NER_RESPONSE = "named_entities array<string>"
 TRIPLE_RESPONSE = "triples array<array<string>>"
 FILTER_RESPONSE = "fact array<array<string>>"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,6 +10,10 @@ from pyspark.sql.types import StructField, StructType, VariantType
 
 from lorewell import schemas
 from lorewell.functions.text import content_key
+from lorewell.scratch import materialize
+
+#: Name of a pointer file: its number and the version it puts in force.
+POINTER = re.compile(r"_V(\d{12})-([0-9a-f]{32})")
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -49,15 +54,17 @@ def openie_json(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     """Extraction results of a JSON file {docs: [...]}, keyed anew by their passage."""
     rows = spark.read.schema(f"docs array<struct<idx:string,passage:string,extracted_entities:array<string>,extracted_triples:{schemas.TRIPLES}>>")
     docs = rows.json(path, multiLine=True).select(F.inline("docs"))
-    return docs.withColumn("idx", content_key(F.col("passage"), prefix))
+    return docs.withColumns({"idx": content_key(F.col("passage"), prefix), "error": F.lit(None).cast("string")})
 
 
 class Tables:
     """Named Parquet tables under one root, each version in a folder of its own.
 
     A new version is written beside the old one and then named in a pointer
-    file, so a table may be replaced by something computed from itself and a
-    failed write leaves the old version in force.
+    file of the next number; the pointer with the highest number is in force and
+    none is ever overwritten. So a table may be replaced by something computed
+    from itself, and whenever a write breaks off, the version before it holds.
+    Of two writers at once one fails. ``vacuum`` deletes what isn't in force.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -69,15 +76,14 @@ class Tables:
     def _fs(self):
         return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _pointers(self, name: str) -> list[str]:
+        fs, folder = self._fs(), self._path(name)
+        return sorted(x.getPath().getName() for x in fs.listStatus(folder) if POINTER.fullmatch(x.getPath().getName())) if fs.exists(folder) else []
+
     def version(self, name: str) -> str | None:
-        fs, pointer = self._fs(), self._path(name, "_CURRENT")
-        if not fs.exists(pointer):
-            return None
-        stream = fs.open(pointer)
-        try:
-            return stream.readLine()
-        finally:
-            stream.close()
+        """The version in force, by the name that its pointer ends with."""
+        pointers = self._pointers(name)
+        return POINTER.fullmatch(pointers[-1])[2] if pointers else None
 
     def read(self, name: str, schema: str) -> DataFrame:
         """The current version; an empty table if there is none."""
@@ -88,21 +94,29 @@ class Tables:
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """Write a new version and make it the current one."""
-        version = uuid.uuid4().hex
+        pointers, version = self._pointers(name), uuid.uuid4().hex
         df.write.parquet(f"{self.root}/{name}/{version}")
-        fs, new = self._fs(), self._path(name, f"_NEXT-{version}")
-        stream = fs.create(new, True)
-        try:
-            stream.writeBytes(version + "\n")
-        finally:
-            stream.close()
-        old = self.version(name)
-        pointer = self._path(name, "_CURRENT")
-        if old is not None:
-            fs.delete(pointer, False)
-        fs.rename(new, pointer)
+        number = int(POINTER.fullmatch(pointers[-1])[1]) + 1 if pointers else 1
+        self._point(name, number, version)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}/{version}")
 
+    def _point(self, name: str, number: int, version: str) -> None:
+        own = f"_V{number:012d}-{version}"
+        self._fs().create(self._path(name, own), False).close()  # empty: the name says all, so no half-written pointer can be read
+        rivals = [p for p in self._pointers(name) if p.startswith(f"_V{number:012d}-") and p != own]
+        if rivals:
+            self._fs().delete(self._path(name, own), False)
+            raise RuntimeError(f"table {name} was replaced by another writer meanwhile")
+
+    def vacuum(self, name: str) -> None:
+        """Delete all versions but the one in force; call when nothing reads them any more."""
+        fs, current = self._fs(), self.version(name)
+        for pointer in self._pointers(name)[:-1]:
+            fs.delete(self._path(name, pointer), False)
+        for x in fs.listStatus(self._path(name)) if current else []:
+            if x.isDirectory() and x.getPath().getName() != current:
+                fs.delete(x.getPath(), True)
+
     def clear(self) -> None:
         self._fs().delete(self._path(), True)
 
@@ -119,10 +133,14 @@ def cache_key(messages: Column, model: str, seed: int | None = None, temperature
 def through_cache(calls: DataFrame, cache: DataFrame, run) -> tuple[DataFrame, DataFrame]:
     """Answer calls (key, ...) from the cache (key, message, metadata); ``run`` answers the others, each key once.
 
-    Returns the answers (key, message, metadata, cache_hit) and the new cache
-    rows, which the caller appends.
+    ``run`` gives key, message, metadata and, if it knows failures, error.
+    Returns the answers (key, message, metadata, error, cache_hit) and the new
+    rows, of which the caller appends those without error to the cache. The new rows are written once, so no call is
+    made again when either is read.
     """
     keyed = calls.dropDuplicates(["key"])
-    hits = cache.join(keyed.select("key"), "key", "left_semi").withColumn("cache_hit", F.lit(True))
-    fresh = run(keyed.join(cache, "key", "left_anti")).select("key", "message", "metadata")
+    none = F.lit(None).cast("string").alias("error")
+    hits = cache.join(keyed.select("key"), "key", "left_semi").select("key", "message", "metadata", none).withColumn("cache_hit", F.lit(True))
+    made = run(keyed.join(cache.select("key"), "key", "left_anti"))
+    fresh = materialize(made.select("key", "message", "metadata", "error" if "error" in made.columns else none), "answers")
     return hits.unionByName(fresh.withColumn("cache_hit", F.lit(False))), fresh

@@ -9,7 +9,7 @@ from lorewell.config import EngineConfig
 from lorewell.operators import evaluate, graph, knn, openie, ppr, retrieve
 
 #: Two passages; the second states one fact in two raw forms.
-RAW = [("c1", [["Erik Hort", "born in", "Montebello"]]), ("c2", [["Montebello", "part of", "Rockland County"], ["Montebello", "part of!", "Rockland County"]])]
+RAW = [("c1", [["Mara Quill", "born in", "Fenwick"]]), ("c2", [["Fenwick", "part of", "Ashdown Shire"], ["Fenwick", "part of!", "Ashdown Shire"]])]
 
 
 @pytest.fixture()
@@ -29,15 +29,15 @@ def names(triples):
 
 def test_two_levels_of_dedupe(triples):
     assert openie.facts(triples).count() == 2
-    assert {r[0] for r in openie.entities(triples).collect()} == {"erik hort", "montebello", "rockland county"}
-    assert {tuple(r) for r in openie.entity_degree(triples).collect()} == {("erik hort", 1), ("montebello", 2), ("rockland county", 1)}
+    assert {r[0] for r in openie.entities(triples).collect()} == {"mara quill", "fenwick", "ashdown shire"}
+    assert {tuple(r) for r in openie.entity_degree(triples).collect()} == {("mara quill", 1), ("fenwick", 2), ("ashdown shire", 1)}
 
 
 def test_weights(triples, names):
     facts = named(graph.fact_edges(triples), names)
-    assert facts["montebello", "rockland county"] == facts["rockland county", "montebello"] == 2 and facts["erik hort", "montebello"] == 1
+    assert facts["fenwick", "ashdown shire"] == facts["ashdown shire", "fenwick"] == 2 and facts["mara quill", "fenwick"] == 1
     both = named(graph.symmetric(graph.directed(graph.fact_edges(triples), graph.passage_edges(triples))), names)
-    assert both["erik hort", "montebello"] == 2 and both["montebello", "rockland county"] == 4 and both["c1", "montebello"] == 1
+    assert both["mara quill", "fenwick"] == 2 and both["fenwick", "ashdown shire"] == 4 and both["c1", "fenwick"] == 1
 
 
 def test_synonym_takes_the_place_of_a_count_in_one_direction(spark):
@@ -50,8 +50,8 @@ def test_synonym_takes_the_place_of_a_count_in_one_direction(spark):
 def test_pagerank_of_the_example(triples, names, spark):
     edges = graph.symmetric(graph.directed(graph.fact_edges(triples), graph.passage_edges(triples)))
     key = {v: k for k, v in names.items()}
-    reset = spark.createDataFrame([(0, key["erik hort"], 1.0), (0, key["montebello"], 0.5), (0, "c1", 0.05)], "query_id long, node_id string, weight double")
-    want = {"erik hort": 0.394719, "montebello": 0.367357, "rockland county": 0.100081, "c1": 0.104875, "c2": 0.032968}
+    reset = spark.createDataFrame([(0, key["mara quill"], 1.0), (0, key["fenwick"], 0.5), (0, "c1", 0.05)], "query_id long, node_id string, weight double")
+    want = {"mara quill": 0.394719, "fenwick": 0.367357, "ashdown shire": 0.100081, "c1": 0.104875, "c2": 0.032968}
     for config in (EngineConfig(), EngineConfig(ppr_broadcast_edges=0)):
         got = {names.get(r["node_id"], r["node_id"]): r["score"] for r in ppr.personalized(edges, reset, 24, config).collect()}
         assert got == pytest.approx(want, abs=2e-6) and sum(got.values()) == pytest.approx(1)
