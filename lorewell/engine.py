@@ -181,7 +181,7 @@ class Engine:
             kept = self._timed("facts", self.kept_facts, asked)
             passages = self.chunks().select(F.col("hash_id").alias("node_id"))
             by_graph = self._timed("pagerank", lambda: retrieve.graph_ranked(self.edges(), self.reset(asked, kept), passages, k, self.config))
-            found = retrieve.with_fallback(by_graph, found.drop("method"))
+            found = retrieve.with_fallback(retrieve.filled(by_graph, passages, k), found.drop("method"))
         content = self.chunks().select(F.col("hash_id").alias("key_id"), "content")
         rows = found.join(content, "key_id").join(asked, "query_id").select(
             "query_id", "question", "rank", F.col("key_id").alias("hash_id"), "content", "score", "method"

@@ -112,6 +112,20 @@ def graph_ranked(edges: DataFrame, reset: DataFrame, passages: DataFrame, k: int
     return knn.ranked(found.select("query_id", F.col("node_id").alias("key_id"), "score"), k)
 
 
+def filled(ranked: DataFrame, passages: DataFrame, k: int) -> DataFrame:
+    """Ranked passages, and for questions with fewer than ``k`` of them the first others (node_id) by id, with score 0.
+
+    A question that is short has n < k ranked passages, so of the k smallest ids at least k - n are free: these k serve every question.
+    """
+    first = passages.select(F.col("node_id").alias("key_id")).orderBy("key_id").limit(k)
+    short = ranked.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") < k)
+    ids = first.agg(F.collect_list("key_id").alias("ids"))
+    others = short.join(F.broadcast(ids)).select("query_id", "n", F.explode("ids").alias("key_id")).join(ranked, ["query_id", "key_id"], "left_anti")
+    place = F.col("n") + F.row_number().over(Window.partitionBy("query_id").orderBy("key_id"))
+    added = others.withColumn("rank", place.cast("int")).where(F.col("rank") <= k)
+    return ranked.unionByName(added.select("query_id", "key_id", F.lit(0.0).alias("score"), "rank"))
+
+
 def with_fallback(graph: DataFrame, dense: DataFrame) -> DataFrame:
     """Graph rows for the questions that have some, dense rows for the others, told apart by ``method``."""
     left = dense.join(graph.select("query_id").distinct(), "query_id", "left_anti")

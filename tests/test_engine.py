@@ -179,7 +179,7 @@ def endpoint():
 
         def do_POST(self):
             body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
-            self.asked.append((self.path, dict(self.headers), body))
+            self.asked.append((self.path, {k.title(): v for k, v in self.headers.items()}, body))
             code = self.busy.pop() if self.busy else 401 if body.get("model") == "secret" else 200
             self.send_response(code)
             self.end_headers()
@@ -209,7 +209,7 @@ def test_endpoints(endpoint):
     path, headers, body = seen.asked[-1]
     assert len(seen.asked) == 3 and path == "/chat/completions" and headers["Authorization"] == "Bearer k" and body["max_completion_tokens"] == 2048 and "json_schema" in body["response_format"]
     models.chat_model("azure/dep", url, api_key="k", api_version="v1").infer([])
-    assert seen.asked[-1][0] == "/openai/deployments/dep/chat/completions?api-version=v1" and seen.asked[-1][1]["Api-key"] == "k"
+    assert seen.asked[-1][0] == "/openai/deployments/dep/chat/completions?api-version=v1" and seen.asked[-1][1]["Api-Key"] == "k"
     with pytest.raises(OSError):
         models.chat_model("secret", url, backoff=0.0).infer([])
     n = len(seen.asked)
