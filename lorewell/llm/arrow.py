@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,12 +20,51 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+#: What workers keep between tasks.
+_kept: list = []
+
+
+def keep_in_worker(make: Callable) -> Callable:
+    """Keep what ``make`` returns from task to task of a worker, until a task ends that had no use for it."""
+    kept = lru_cache(maxsize=2)(make)
+    _kept.append(kept)
+    return kept
+
+
+def uses() -> list[tuple[int, int]]:
+    return [k.cache_info()[:2] for k in _kept]
+
+
+def give_back(before: list[tuple[int, int]]) -> None:
+    """Return memory to the system: a worker lives on for later tasks, and its allocators would keep their highest mark."""
+    for k, use in zip(_kept, before):
+        if k.cache_info()[:2] == use:
+            k.cache_clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over a task's batches that gives freed memory back when it ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = uses()
+        try:
+            yield from run(batches)
+        finally:
+            give_back(before)
+
+    return wrapped
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` in small batches: rows here hold whole texts, and a batch is held several times over, on either side."""
     conf = df.sparkSession.conf
     if BATCH not in conf.getAll:
         conf.set(BATCH, BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: str) -> DataFrame:

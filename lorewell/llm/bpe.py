@@ -23,14 +23,13 @@ import json
 import sys
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lorewell.llm.arrow import map_batches, texts
+from lorewell.llm.arrow import keep_in_worker, map_batches, texts
 
 #: Fixed: the public pre-tokenizer pattern of byte-level BPE vocabularies of this kind.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -256,7 +255,7 @@ class Decoder:
         return self.machine.decode(b"", True)
 
 
-@lru_cache(maxsize=2)
+@keep_in_worker
 def load(path: str) -> ByteBpe:
     """One model a worker process and path."""
     return ByteBpe(path)

@@ -16,12 +16,11 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lorewell.llm.arrow import batch, map_batches, texts
+from lorewell.llm.arrow import batch, keep_in_worker, map_arrow, map_batches, texts
 from lorewell.scratch import materialize
 
 #: Pre-tokens in the broadcast table, entries of a task's counter before it is cut, summaries merged at once.
@@ -34,7 +33,7 @@ SUMMARY = "part long, words binary, counts array<long>"
 SUMMARY_ARROW = pa.schema([("part", pa.int64()), ("words", pa.binary()), ("counts", pa.list_(pa.int64()))])
 
 
-@lru_cache(maxsize=2)
+@keep_in_worker
 def _processor(path: str):
     import sentencepiece
 
@@ -103,7 +102,7 @@ def _merge(table: pa.Table) -> pa.Table:
 
 def frequent_pre_tokens(docs: DataFrame) -> list[str]:
     """At most TABLE of the most frequent pre-tokens of all texts, most frequent first."""
-    level = materialize(docs.select("text").mapInArrow(_summarise, SUMMARY), "summaries")
+    level = materialize(map_arrow(docs.select("text"), _summarise, SUMMARY), "summaries")
     while level.count() > 1:
         level = materialize(level.groupBy(F.floor(F.col("part") / FAN_IN)).applyInArrow(_merge, SUMMARY), "summaries")
     rows = level.collect()  # one row of bounded size

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lorewell.llm.arrow import batch, map_batches, texts
+from lorewell.llm.arrow import batch, map_arrow, map_batches, texts
 from lorewell.llm.rows import Rows
 from lorewell.scratch import materialize
 
@@ -225,7 +225,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train_table(train: DataFrame) -> tuple[tuple[np.ndarray, ...], DataFrame | None]:
     """The arguments of ``Table``, of bounded size, and the contexts beyond them (None: there are none), from all texts of ``train``."""
-    counted = train.select("text").mapInArrow(_count_grams, "gram long, n long")
+    counted = map_arrow(train.select("text"), _count_grams, "gram long, n long")
     grams = materialize(counted.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     context = F.shiftright("gram", 8)
     contexts = grams.groupBy(context.alias("c")).agg(F.sum("n").alias("m"))
@@ -262,7 +262,7 @@ def _rare_contexts(grams: DataFrame, low: DataFrame) -> DataFrame:
 
 def train_words(train: DataFrame) -> DataFrame:
     """word, c of all texts of ``train`` (the end of a text isn't among them)."""
-    counted = train.select("text").mapInArrow(_count_words, "word binary, n long")
+    counted = map_arrow(train.select("text"), _count_words, "word binary, n long")
     return materialize(counted.groupBy("word").agg(F.sum("n").alias("c")), "words")
 
 
@@ -361,12 +361,12 @@ def score_documents(docs: DataFrame, fold: int = 2, folds: int = 7) -> DataFrame
             yield passed_on()
 
     first = map_batches(rows, make, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
-    rare = rows.select("uid", "text").mapInArrow(misses, "uid long, word binary, n long")
+    rare = map_arrow(rows.select("uid", "text"), misses, "uid long, word binary, n long")
     rare = rare.join(words, "word").groupBy("uid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("sum"))
     zero, score = F.lit(0), F.col("score")
     out = first.join(rare, "uid", "left")
     if rare_contexts is not None:
-        symbols = rows.select("uid", "text").mapInArrow(beyond, "uid long, gram long, n long, low double, onward double, seen boolean")
+        symbols = map_arrow(rows.select("uid", "text"), beyond, "uid long, gram long, n long, low double, onward double, seen boolean")
         own = F.try_element_at("logs", F.col("gram").bitwiseAND(255).cast("int"))
         log = F.coalesce(own, F.when(F.col("seen"), F.col("escaped_seen")).otherwise(F.col("escaped")) + F.col("onward"))
         symbols = symbols.withColumn("c", F.shiftright("gram", 8)).join(rare_contexts, "c")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lorewell.llm import shingles
-from lorewell.llm.arrow import map_batches, texts
+from lorewell.llm.arrow import map_arrow, map_batches, texts
 from lorewell.llm.components import components
 from lorewell.llm.rows import Rows
 from lorewell.scratch import materialize
@@ -149,7 +149,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
                 sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
                 yield b.select(["a", "b"]).filter(pa.array(estimate(sa, sb) >= least))
 
-    return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return map_arrow(wide.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * both >= percent * (len(p) + len(q) - both))
             yield b.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return map_arrow(wide.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def _reachable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _reachable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 s = np.frombuffer(v.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), uid)), pa.array(s)], schema=kind)
 
-    one = sets.mapInArrow(spread, "uid long, shingle long").groupBy("shingle").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("n"))
+    one = map_arrow(sets, spread, "uid long, shingle long").groupBy("shingle").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("n"))
     lone = one.where("n = 1").groupBy("uid").agg(F.count(F.lit(1)).alias("u"))
     n = (F.octet_length("set") / 8).cast("long")
     hopeless = sets.select("uid", n.alias("n")).join(lone, "uid").where(100 * (F.col("n") - F.col("u")) < percent * F.col("n"))

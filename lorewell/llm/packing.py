@@ -17,14 +17,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lorewell.llm.arrow import batch, texts
+from lorewell.llm.arrow import batch, keep_in_worker, map_arrow, texts
 from lorewell.scratch import materialize
 
 #: Pieces in a block, about; blocks whose loose sequences are packed together; free tokens from which a sequence is loose.
@@ -124,7 +123,7 @@ class Words:
         return out
 
 
-@lru_cache(maxsize=2)
+@keep_in_worker
 def _words(path: str) -> Words:
     return Words(path)
 
@@ -150,7 +149,7 @@ def cut(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1) -> DataF
             yield batch(PIECES_ARROW, list(zip(*rows)) if rows else [[]] * len(PIECES_ARROW))
 
     source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, PIECES)
+    return map_arrow(source, run, PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
