@@ -30,7 +30,7 @@ from lorewell.scratch import materialize
 #: Pieces in a block, about; blocks whose loose sequences are packed together; free tokens from which a sequence is loose.
 BLOCK, TOGETHER, LOOSE = 4096, 32, 16
 #: Entries of a generation of a worker's cache of word ids, the longest word kept there, and texts encoded together.
-CACHE, CACHED_CHARS, TEXTS = 600_000, 64, 256
+CACHE, CACHED_CHARS, TEXTS = 200_000, 64, 256
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in ("uid", "doc_id", "piece", "start", "length", "ids_crc32")])
 PACKED = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, block long, sequence long, offset long, free long"
