@@ -12,6 +12,20 @@ from pyspark.sql.types import StructType
 #: Rows given to a function at once, and bytes in a batch between Spark and a worker, for sessions that don't say.
 SLICE, BATCH_BYTES = 512, "4m"
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What tasks leave in a worker for later tasks of their operator.
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps under ``key`` between tasks, made at need."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Free what other operators keep; for tasks that need the memory, since a worker outlives the stage that filled it."""
+    _kept.clear()
 
 
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lorewell.llm import shingles
-from lorewell.llm.arrow import map_batches, texts
+from lorewell.llm.arrow import let_go, map_batches, texts
 from lorewell.llm.components import components
 from lorewell.llm.rows import Rows
 from lorewell.scratch import materialize
@@ -103,6 +103,8 @@ def signatures(table: Rows, k: int) -> DataFrame:
     """uid, doc_id, n_shingles, fp1, fp2 (a fingerprint of the set), keys, sig; keys and sig are null for an empty set."""
 
     def make():
+        let_go()
+
         def each(b: pa.RecordBatch) -> list:
             n, fp1, fp2, keys, sig = [], [], [], [], []
             for text in texts(b):

@@ -17,14 +17,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lorewell.llm.arrow import batch, texts
+from lorewell.llm.arrow import batch, kept, texts
 from lorewell.scratch import materialize
 
 #: Pieces in a block, about; blocks whose loose sequences are packed together; free tokens from which a sequence is loose.
@@ -124,9 +123,8 @@ class Words:
         return out
 
 
-@lru_cache(maxsize=2)
 def _words(path: str) -> Words:
-    return Words(path)
+    return kept(("words", path), lambda: Words(path))
 
 
 def token_ids(text: str, path: str) -> bytes:

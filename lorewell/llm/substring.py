@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, functions as F
 
 from lorewell.llm import shingles
-from lorewell.llm.arrow import batch, map_batches
+from lorewell.llm.arrow import batch, let_go, map_batches
 from lorewell.llm.rows import Rows
 from lorewell.scratch import materialize
 
@@ -100,6 +100,7 @@ def _count(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        let_go()
         held, size, once, twice = [], 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -224,6 +225,7 @@ def _entries(rows: list[tuple[int, int, np.ndarray]], flags: np.ndarray, bits: i
 
 def _find(flags, bits: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known, rows, size = np.frombuffer(flags.value, np.uint8), [], 0
         for b in batches:
             for uid, doc, text in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):

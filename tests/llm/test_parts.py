@@ -11,7 +11,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lorewell.llm import bpe, components, fuse, lm, minhash, packing, quality, rows as rows_of, sharding, shingles, substring
+from lorewell.llm import arrow, bpe, components, fuse, lm, minhash, packing, quality, rows as rows_of, sharding, shingles, substring
 
 pytest.importorskip("public_tokenizers")
 import public_tokenizers as P  # noqa: E402
@@ -213,6 +213,15 @@ def test_sketch_counts_every_repeat_of_a_run_across_a_border_of_places(before):
     assert np.count_nonzero(new | np.uint64(0xFFFF) == own[0]) >= 7
 
 
+def test_words_are_kept_until_another_operator_needs_the_memory():
+    path = P.path("word_bpe_49k.json")
+    first = packing._words(path)
+    ids = first.encode(["one more, one\nmore"])
+    assert packing._words(path) is first
+    arrow.let_go()
+    assert packing._words(path) is not first and packing._words(path).encode(["one more, one\nmore"]) == ids
+
+
 def test_sum_of_squares_packing():
     rng = np.random.default_rng(7)
     lengths = rng.integers(1, 400, 3000)
