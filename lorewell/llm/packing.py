@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from itertools import chain
 
@@ -28,13 +29,25 @@ from lorewell.scratch import materialize
 
 #: Pieces in a block, about; blocks whose loose sequences are packed together; free tokens from which a sequence is loose.
 BLOCK, TOGETHER, LOOSE = 4096, 32, 16
-#: Entries of a generation of a worker's cache of word ids, the longest word kept there, and texts encoded together.
-CACHE, CACHED_CHARS, TEXTS = 200_000, 64, 256
+#: Entries of a generation of a worker's caches of the ids of words and of the letters in them (which cost more to encode), the longest word kept there, and texts encoded together.
+CACHE, CORES, CACHED_CHARS, TEXTS = 100_000, 200_000, 64, 256
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in ("uid", "doc_id", "piece", "start", "length", "ids_crc32")])
 PACKED = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, block long, sequence long, offset long, free long"
 
 
+#: Words on which a vocabulary has to show that its model, given a word's bytes as letters, yields what the whole tokenizer does.
+PROBES = ("a", "the", "bakers", "straße", "überraschung", "naïveté", "żółw", "zzqxjkv")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+LETTERS = _byte_letters()
 #: A word of Latin letters with ASCII marks (no apostrophe) before and after: three pieces of the pre-tokenizer.
 PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -71,12 +84,25 @@ class Words:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.words, self.marks = _Kept(CACHE), _Kept(CACHE // 8)
+        self.words, self.cores, self.marks = _Kept(CACHE), _Kept(CORES), _Kept(CACHE // 4)
+        self.bpe = self.model.model
+        self.direct = type(self.bpe).__name__ == "BPE" and all(self._letters(w) == self._one(w) for w in PROBES)
 
     def _one(self, word: str) -> bytes:
         return np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _letters(self, word: str) -> bytes:
+        """The ids of a word of small Latin letters, which normalizer and pre-tokenizer leave whole, by the model alone."""
+        found = self.bpe.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(LETTERS))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
     def _many(self, words: list[str]) -> list[bytes]:
+        """The ids of words that are a piece each."""
+        if self.direct:
+            return [self._letters(w) if w.islower() else self._one(w) for w in words]
+        return self._joined(words)
+
+    def _joined(self, words: list[str]) -> list[bytes]:
         """The ids of words that are a piece each, encoded as one text."""
         if not words:
             return []
@@ -89,7 +115,7 @@ class Words:
 
     def _learn(self, words: list[str]) -> None:
         """Fill in the ids of words: a plain one is put together from its marks and its letters, which are a word too."""
-        plain, cores, parts, young = [], [], set(), self.words.young
+        plain, cores, young = [], [], self.words.young
         for w in words:
             if w.isalpha() and w.islower() and w.isascii():
                 cores.append(w)
@@ -99,20 +125,22 @@ class Words:
                 young[w] = self._one(w)
                 continue
             before, letters, after = m.groups()
-            core = letters.lower() if letters.isascii() else letters
+            core = letters.lower()
             if core == w:
                 cores.append(w)
             else:
                 plain.append((w, before, core, after))
-                parts.add(core)
-        new = cores + self.words.missing(parts.difference(cores))
-        young.update(zip(new, self._many(new)))
+        new = self.cores.missing({*cores, *[x[2] for x in plain]})
+        self.cores.young.update(zip(new, self._many(new)))
+        known = self.cores.young
+        young.update((w, known[w]) for w in cores)
         marks = self.marks.missing({m for x in plain for m in (x[1], x[3])})
         self.marks.young.update((m, self._one(m)) for m in marks)
         marks = self.marks.young
         for w, before, core, after in plain:
-            young[w] = marks[before] + young[core] + marks[after]
+            young[w] = marks[before] + known[core] + marks[after]
         self.marks.turn()
+        self.cores.turn()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts as little-endian unsigned 32-bit integers."""
