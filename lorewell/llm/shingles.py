@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Entries of a worker's cache of word hashes.
-CACHE = 400_000
+CACHE = 100_000
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MASK = (1 << 64) - 1

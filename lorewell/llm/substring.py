@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, functions as F
 
 from lorewell.llm import shingles
-from lorewell.llm.arrow import batch, let_go, map_batches
+from lorewell.llm.arrow import batch, let_go, map_arrow, map_batches
 from lorewell.llm.rows import Rows
 from lorewell.scratch import materialize
 
@@ -151,7 +151,7 @@ def _merge(bits: int, last: bool):
 def sketch(docs: DataFrame, bits: int) -> bytes:
     """One bit a counter: whether it reached two; at most MAX_BITS / 8 bytes."""
     schema = "slice int, part long, places binary"
-    level = materialize(docs.select("text").mapInArrow(_count(bits), schema), "sketches")
+    level = materialize(map_arrow(docs.select("text"), _count(bits), schema), "sketches")
     parts = (level.agg(F.max("part")).first()[0] or 0) + 1
     while parts > FAN_IN:
         level = materialize(level.groupBy("slice", F.floor(F.col("part") / FAN_IN)).applyInArrow(_merge(bits, False), schema), "sketches")
@@ -266,7 +266,7 @@ def covered(rows: DataFrame) -> DataFrame:
     bits = min(MAX_BITS, max(MIN_BITS, 1 << math.ceil(math.log2(keys * PER_KEY))))
     buckets = max(64, int(words / GROUP))
     flags = spark.sparkContext.broadcast(sketch(rows, bits))
-    found = rows.mapInArrow(_find(flags, bits, buckets), "bucket int, uid long, start long, stop long, entries binary")
+    found = map_arrow(rows, _find(flags, bits, buckets), "bucket int, uid long, start long, stop long, entries binary")
     spans = found.groupBy("bucket").applyInArrow(_group, "uid long, start long, stop long")
     return spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 

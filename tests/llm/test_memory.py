@@ -1,6 +1,6 @@
 """What workers keep between texts, and what it costs to make again."""
 
-from lorewell.llm import packing
+from lorewell.llm import packing, shingles
 
 import public_tokenizers as P
 
@@ -28,3 +28,10 @@ def test_ids_by_the_model_alone_are_those_of_the_tokenizer():
     words.direct = False
     text = "Straße (naïve) Żółw zzqxj Lakeside, ǅ İx"
     assert words.encode([text])[0] == words._one(text)
+
+
+def test_a_full_cache_of_word_hashes_stays_small():
+    words = [b"w%d" % i for i in range(shingles.CACHE + 10)]
+    found = shingles.hash_words(words)
+    assert len(shingles._hashes) <= shingles.CACHE <= 100_000  # some 13 MB a worker
+    assert (found[:5] == shingles.hash_words(words[:5])).all()
