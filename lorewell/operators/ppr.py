@@ -2,8 +2,8 @@
 
 x' = (1 - d) r + d (P' x + r * mass of nodes without edges). A small graph (its
 size is checked) is broadcast as arrays and each question iterates in numpy; a
-larger one is iterated as a join and a sum per step, cut by a written table
-every few steps.
+larger one is iterated as a join and a sum per step. Each step is written and
+the one before deleted, so disk holds one step's tables and shuffles at a time.
 """
 
 from __future__ import annotations
@@ -14,11 +14,9 @@ import pyarrow.compute  # noqa: F401  for pa.compute
 from pyspark.sql import DataFrame, functions as F
 
 from lorewell.config import EngineConfig
-from lorewell.scratch import materialize
+from lorewell.scratch import materialize, new_path, remove, write
 
 DEFAULT = EngineConfig()
-#: Steps between two written tables of the join form.
-CUT = 4
 OUT = pa.schema([("query_id", pa.int64()), ("node_id", pa.string()), ("score", pa.float64())])
 
 
@@ -86,8 +84,8 @@ def _as_joins(edges: DataFrame, reset: DataFrame, steps: int, damping: float) ->
     share = materialize(edges.join(degree, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "shares")
     linked = materialize(degree.select(F.col("src").alias("node_id"), F.lit(True).alias("linked")), "linked")
     r = materialize(reset.join(linked, "node_id", "left").select(F.col("query_id").cast("long").alias("query_id"), "node_id", F.col("weight").alias("r"), F.coalesce("linked", F.lit(False)).alias("linked")), "reset")
-    x = r.select("query_id", "node_id", F.col("r").alias("x"))
-    for step in range(steps):
+    x, last = r.select("query_id", "node_id", F.col("r").alias("x")), None
+    for _ in range(steps):
         # only seeds can be without edges: all other mass arrives over an edge
         lost = x.join(r.where("not linked").select("query_id", "node_id"), ["query_id", "node_id"], "left_semi").groupBy("query_id").agg(F.sum("x").alias("lost"))
         moved = x.join(share, x["node_id"] == share["src"]).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("x") * F.col("p")).alias("x"))
@@ -95,6 +93,9 @@ def _as_joins(edges: DataFrame, reset: DataFrame, steps: int, damping: float) ->
             "query_id", "node_id", (F.col("r") * (F.lit(1 - damping) + F.lit(damping) * F.coalesce("lost", F.lit(0.0)))).alias("x")
         )
         x = moved.select("query_id", "node_id", (F.lit(damping) * F.col("x")).alias("x")).unionByName(back).groupBy("query_id", "node_id").agg(F.sum("x").alias("x"))
-        if (step + 1) % CUT == 0:
-            x = materialize(x, "rank")
+        path = new_path(edges.sparkSession, "rank")
+        x = write(x, path)
+        if last:
+            remove(edges.sparkSession, last)
+        last = path
     return x.select("query_id", "node_id", F.col("x").alias("score"))
