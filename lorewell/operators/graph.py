@@ -14,6 +14,8 @@ from lorewell.functions.text import alnum_length, content_key
 from lorewell.operators import knn
 
 DEFAULT = EngineConfig()
+#: By how much rounding may lift a cosine over 1, at most.
+ROUNDING = 1e-6
 
 
 def fact_edges(triples: DataFrame, prefix: str = DEFAULT.entity_prefix) -> DataFrame:
@@ -31,6 +33,9 @@ def passage_edges(triples: DataFrame, prefix: str = DEFAULT.entity_prefix) -> Da
 
 def synonymy_edges(entities: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """src, dst, weight: near entities (hash_id, content, embedding), seen from those with a name of over two letters or digits."""
+    if config.synonymy_threshold > 1 + ROUNDING:  # no cosine is that near
+        key = entities.schema["hash_id"].dataType.simpleString()
+        return entities.sparkSession.createDataFrame([], f"src {key}, dst {key}, weight double")
     sources = entities.where(alnum_length(F.col("content")) > 2).select(F.col("hash_id").alias("query_id"), "embedding")
     keys = entities.select(F.col("hash_id").alias("key_id"), "embedding")
     near = knn.nearest(sources, keys, config.synonymy_topk, config.synonymy_threshold, config)

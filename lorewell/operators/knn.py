@@ -116,7 +116,8 @@ def _grid(queries: DataFrame, keys: DataFrame, k: int | None, query_block: int,
                         low, high = pa.array(np.full(m, s.min())), pa.array(np.full(m, s.max()))
                         yield pa.RecordBatch.from_arrays([pa.array([i] * m, arrow.field(0).type), names.take(pa.array(at)), pa.array(s[at]), low, high], schema=arrow)
 
-    return q.join(d, "block").select("q_ids", "q", "ids", "vectors").mapInArrow(run, ddl)
+    # the files of packed vectors are far smaller than the vectors, so their size mustn't decide on a broadcast
+    return q.join(d.hint("merge"), "block").select("q_ids", "q", "ids", "vectors").mapInArrow(run, ddl)
 
 
 def ranges(found: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructField, StructType, VariantType
 
 from lorewell import schemas
 from lorewell.functions.text import content_key
-from lorewell.scratch import materialize
+from lorewell.scratch import materialize, write
 
 #: Name of a pointer file: its number and the version it puts in force.
 POINTER = re.compile(r"_V(\d{12})-([0-9a-f]{32})")
@@ -95,10 +95,10 @@ class Tables:
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """Write a new version and make it the current one."""
         pointers, version = self._pointers(name), uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/{name}/{version}")
+        written = write(df, f"{self.root}/{name}/{version}")
         number = int(POINTER.fullmatch(pointers[-1])[1]) + 1 if pointers else 1
         self._point(name, number, version)
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}/{version}")
+        return written
 
     def _point(self, name: str, number: int, version: str) -> None:
         own = f"_V{number:012d}-{version}"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorewell import scratch
 from lorewell.config import EngineConfig
-from lorewell.operators import ppr
+from lorewell.operators import graph, knn, ppr
 
 
 def _blocks(spark):
@@ -35,3 +35,18 @@ def test_pagerank_by_joins_holds_one_step_on_disk(spark):
     assert len(tables() - before) == 1
     same = {r["node_id"]: r["score"] for r in ppr.personalized(edges, seeds, 9).collect()}
     assert {r["node_id"]: round(r["score"], 12) for r in found.collect()} == {k: round(v, 12) for k, v in same.items()}
+
+
+def test_no_cosine_is_computed_for_a_threshold_beyond_all(spark, monkeypatch):
+    rows = spark.createDataFrame([("x", "baker", [1.0, 0.0]), ("y", "bakery", [1.0, 0.0])], "hash_id string, content string, embedding array<float>")
+    assert graph.synonymy_edges(rows).count() == 2
+    monkeypatch.setattr(knn, "nearest", lambda *a: 1 / 0)
+    none = graph.synonymy_edges(rows, EngineConfig(synonymy_threshold=2.0))
+    assert none.count() == 0 and none.columns == ["src", "dst", "weight"]
+
+
+def test_packed_vectors_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(i, [float(i == j) for j in range(64)]) for i in range(64)], "query_id long, embedding array<double>")
+    keys = rows.withColumnRenamed("query_id", "key_id")
+    plan = knn.nearest(rows, keys, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
