@@ -18,19 +18,18 @@ import os
 import re
 import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lorewell.llm.arrow import batch, kept, texts
+from lorewell.llm.arrow import batch, kept
 from lorewell.scratch import materialize
 
 #: Pieces in a block, about; blocks whose loose sequences are packed together; free tokens from which a sequence is loose.
 BLOCK, TOGETHER, LOOSE = 4096, 32, 16
-#: Entries of a generation of a worker's caches of the ids of words and of the letters in them (which cost more to encode), the longest word kept there, and texts encoded together.
-CACHE, CORES, CACHED_CHARS, TEXTS = 100_000, 200_000, 64, 256
+#: Entries of a generation of a worker's caches of the ids of odd words and of plain pieces, the longest one kept there, texts encoded together, and bytes of them at once.
+CACHE, CORES, CACHED_CHARS, TEXTS, STRETCH = 100_000, 200_000, 64, 1024, 1 << 20
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in ("uid", "doc_id", "piece", "start", "length", "ids_crc32")])
 PACKED = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, block long, sequence long, offset long, free long"
@@ -50,28 +49,50 @@ def _byte_letters() -> dict[int, str]:
 LETTERS = _byte_letters()
 #: A word of Latin letters with ASCII marks (no apostrophe) before and after: three pieces of the pre-tokenizer.
 PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: What a byte is: between words, part of a letter, a mark, or odd.
+SPACE, LETTER, MARK, ODD = range(4)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each byte what it is and its small letter; of each character of two bytes whether it is a letter of PLAIN, and its small letter."""
+    kinds, small = np.full(256, ODD, np.uint8), np.arange(256, dtype=np.uint8)
+    letters, lower = np.zeros(2048, bool), np.arange(2048, dtype=np.uint16)
+    kinds[[0x20, 0x0A]] = SPACE
+    for c in range(0x21, 2048):
+        found = PLAIN.fullmatch(chr(c)) if c >= 0x80 or chr(c).isalpha() else None
+        if c < 0x7F and PLAIN.fullmatch(chr(c) + "a"):
+            kinds[c] = LETTER if found else MARK
+            small[c] = ord(chr(c).lower())
+        elif found and len(chr(c).lower().encode()) == 2:
+            letters[c], lower[c] = True, ord(chr(c).lower())
+    return kinds, small, letters, lower
+
+
+KINDS, SMALL, LETTERS_2, SMALL_2 = _tables()
 
 
 class _Kept:
-    """A bounded cache in two generations; what a block of texts needs is all in the younger one."""
+    """A bounded cache in two generations: what is still in use moves on when the younger one is full."""
 
     def __init__(self, size: int):
-        self.size, self.young, self.old = size, {"": b""}, {}
-
-    def missing(self, keys) -> list[str]:
-        out = []
-        for k in keys:
-            if k not in self.young:
-                found = self.old.get(k)
-                if found is None:
-                    out.append(k)
-                else:
-                    self.young[k] = found
-        return out
-
-    def turn(self) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def fill(self, keys: list[str], find) -> list[bytes]:
+        """What belongs to each of distinct keys; ``find`` gives it for those not kept."""
+        out, new = [*map(self.young.get, keys)], []
+        for n in [n for n, found in enumerate(out) if found is None]:
+            out[n] = self.old.get(keys[n])
+            if out[n] is None:
+                new.append(n)
+            else:
+                self.young[keys[n]] = out[n]
+        for n, found in zip(new, find([keys[n] for n in new])):
+            out[n] = found
+            if len(keys[n]) <= CACHED_CHARS:
+                self.young[keys[n]] = found
         if len(self.young) > self.size:
-            self.old, self.young = {k: v for k, v in self.young.items() if len(k) <= CACHED_CHARS}, {"": b""}
+            self.old, self.young = self.young, {}
+        return out
 
 
 class Words:
@@ -84,7 +105,7 @@ class Words:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.words, self.cores, self.marks = _Kept(CACHE), _Kept(CORES), _Kept(CACHE // 4)
+        self.words, self.cores = _Kept(CACHE), _Kept(CORES)
         self.bpe = self.model.model
         self.direct = type(self.bpe).__name__ == "BPE" and all(self._letters(w) == self._one(w) for w in PROBES)
 
@@ -113,42 +134,99 @@ class Words:
         ids = np.array(found.ids, "<u4").tobytes()
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
-    def _learn(self, words: list[str]) -> None:
-        """Fill in the ids of words: a plain one is put together from its marks and its letters, which are a word too."""
-        plain, cores, young = [], [], self.words.young
-        for w in words:
-            if w.isalpha() and w.islower() and w.isascii():
-                cores.append(w)
-                continue
-            m = PLAIN.fullmatch(w) if "<|" not in w else None
-            if not m:
-                young[w] = self._one(w)
-                continue
-            before, letters, after = m.groups()
-            core = letters.lower()
-            if core == w:
-                cores.append(w)
-            else:
-                plain.append((w, before, core, after))
-        new = self.cores.missing({*cores, *[x[2] for x in plain]})
-        self.cores.young.update(zip(new, self._many(new)))
-        known = self.cores.young
-        young.update((w, known[w]) for w in cores)
-        marks = self.marks.missing({m for x in plain for m in (x[1], x[3])})
-        self.marks.young.update((m, self._one(m)) for m in marks)
-        marks = self.marks.young
-        for w, before, core, after in plain:
-            young[w] = marks[before] + known[core] + marks[after]
-        self.marks.turn()
-        self.cores.turn()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(self.words.missing(set(chain.from_iterable(split))))
-        out = [b"".join(map(self.words.young.__getitem__, s)) for s in split]
-        self.words.turn()
-        return out
+    def _pieces(self, data: np.ndarray, ends: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+        """What texts in UTF-8 consist of, which of it is odd, and how much of it comes before each of ``ends``, where texts end.
+
+        A word of Latin letters and ASCII marks falls into runs of either, as
+        the pre-tokenizer parts it, with letters made small; any other word is
+        odd and left whole, as is one with what special strings begin with.
+        """
+        kind, small = KINDS[data], SMALL[data]
+        two = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+        if len(two):
+            c = (data[two] & 0x1F).astype(np.uint16) << 6 | data[two + 1] & 0x3F
+            is_letter = LETTERS_2[c]
+            two, c = two[is_letter], SMALL_2[c[is_letter]]
+            small[two], small[two + 1] = 0xC0 | c >> 6, 0x80 | c & 0x3F
+            kind[two] = kind[two + 1] = LETTER
+        kind[:-1][(data[:-1] == 0x3C) & (data[1:] == 0x7C)] = ODD
+        first = np.zeros(len(data) + 1, bool)
+        first[0] = first[ends] = True
+        first = first[:-1]
+        odd = np.flatnonzero(kind == ODD)
+        if len(odd):
+            edges = np.append(np.flatnonzero(first | (kind == SPACE)), len(data))
+            k = np.searchsorted(edges, odd, "right")
+            k = k[np.append(True, k[1:] != k[:-1])]
+            change = np.zeros(len(data) + 1, np.int8)
+            change[edges[k - 1]] += 1
+            change[edges[k]] -= 1
+            whole = (np.cumsum(change[:-1], dtype=np.int8) > 0) & (kind != SPACE)
+            kind[whole], small[whole] = ODD, data[whole]
+        word = kind != SPACE
+        first[1:] |= kind[1:] != kind[:-1]
+        first &= word
+        at = np.flatnonzero(first)
+        offsets = np.append(np.flatnonzero(first[word]), np.count_nonzero(word)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(small[word]))
+        return pieces, kind[at] == ODD, np.searchsorted(at, ends)
+
+    def _plain(self, pieces: list[str]) -> list[bytes]:
+        """The ids of runs of letters and of marks."""
+        letters = iter(self._many([p for p in pieces if p[0].isalpha()]))
+        return [next(letters) if p[0].isalpha() else self._one(p) for p in pieces]
+
+    def _stretch(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts in UTF-8, and how many come before each of ``ends``, where texts end."""
+        pieces, odd, before = self._pieces(data, ends)
+        found = pieces.dictionary_encode()
+        which, keys = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False)
+        is_odd = np.zeros(len(keys), bool)
+        is_odd[which[odd]] = True
+        ids = np.empty(len(keys), object)
+        ids[~is_odd] = self.cores.fill(keys[~is_odd].tolist(), self._plain)
+        ids[is_odd] = self.words.fill(keys[is_odd].tolist(), lambda words: [self._one(w) for w in words])
+        ids = ids.tolist()
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(length) - length
+        length = length[which]
+        upto = np.append(0, np.cumsum(length))
+        place = np.repeat(start[which] - upto[:-1], length) + np.arange(upto[-1])
+        return np.frombuffer(b"".join(ids), "<u4")[place], upto[before]
+
+    def encode(self, texts: list[str] | pa.StringArray) -> list[bytes]:
+        """The ids of whole texts (null: none) as little-endian unsigned 32-bit integers."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("").cast(pa.large_string())
+        if not len(texts):
+            return []
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends[1:] - ends[0]
+        out, count, done, total, at = [], np.zeros(len(ends) + 1, np.int64), 0, 0, 0
+        while at < len(data):
+            stop = self._stop(data, ends, at)
+            last = int(np.searchsorted(ends, stop, "right"))
+            ids, before = self._stretch(data[at:stop], ends[done:last] - at)
+            count[done + 1 : last + 1] = total + before
+            out.append(ids.tobytes())
+            done, total, at = last, total + len(ids), stop
+        ids, count = b"".join(out), (4 * count).tolist()
+        return [ids[a:b] for a, b in zip(count[:-1], count[1:])]
+
+    @staticmethod
+    def _stop(data: np.ndarray, ends: np.ndarray, at: int) -> int:
+        """Where a stretch of texts from ``at`` on may end: with a text or before a space or line end."""
+        size = STRETCH
+        while at + size < len(data):
+            k = int(np.searchsorted(ends, at + size, "right"))
+            if k and ends[k - 1] > at:
+                return int(ends[k - 1])
+            spaces = np.flatnonzero(KINDS[data[at + 1 : at + size]] == SPACE)
+            if len(spaces):
+                return at + 1 + int(spaces[-1])
+            size *= 2
+        return len(data)
 
 
 def _words(path: str) -> Words:
@@ -168,7 +246,7 @@ def cut(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1) -> DataF
             rows = []
             for at in range(0, b.num_rows, TEXTS):
                 some = b.slice(at, TEXTS)
-                for uid, doc, ids in zip(some.column("uid").to_pylist(), some.column("doc_id").to_pylist(), _words(path).encode(texts(some))):
+                for uid, doc, ids in zip(some.column("uid").to_pylist(), some.column("doc_id").to_pylist(), _words(path).encode(some.column("text"))):
                     ids += stop
                     for k in range(0, len(ids), step):
                         part = ids[k : k + step]
